@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import license, mixing, quality
+from scriptorium.llm import flac, license, mixing, quality, simhash, spiece, tokencount
 from scriptorium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,37 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_back(flac.encode_texts(table(spark, sf_dir, "documents")))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file; on the machines of a cluster the module that brings them is installed at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_flac": op2_flac,
+    "op6_simhash": op6_simhash,
+    "op9_token_counts": op9_token_counts,
+    "op10_sentencepiece": op10_sentencepiece,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op7_license_scan": op7_license_scan,
