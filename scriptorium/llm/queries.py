@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import flac, license, mixing, quality, simhash, spiece, tokencount
+from scriptorium.llm import flac, license, mixing, quality, simhash, spiece, tokencount, warc
 from scriptorium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_back(flac.encode_texts(table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op2_flac": op2_flac,
     "op6_simhash": op6_simhash,
     "op9_token_counts": op9_token_counts,

@@ -73,9 +73,9 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "mos
         return first, crossing
     if rule == "end":
         return last, crossing
-    own = first.copy()
     edges = np.concatenate(([0], section_ends))
-    for k in np.flatnonzero(crossing):
+    own = np.where(crossing & (token_ends - edges[last] > edges[first + 1] - starts), last, first)
+    for k in np.flatnonzero(last > first + 1):  # a token over more than two sections
         inside = np.arange(first[k], last[k] + 1)
         share = np.minimum(edges[inside + 1], token_ends[k]) - np.maximum(edges[inside], starts[k])
         own[k] = inside[int(share.argmax())]
