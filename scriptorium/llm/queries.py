@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import flac, license, mixing, quality, simhash, spiece, tokencount, warc
+from scriptorium.llm import flac, hpylm, license, mixing, quality, simhash, spiece, substring, tokencount, warc
 from scriptorium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,19 @@ def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_back(flac.encode_texts(table(spark, sf_dir, "documents")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """A public tokenizer's file; on the machines of a cluster the module that brings them is installed at the same place."""
     import public_tokenizers
@@ -61,7 +69,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_flac": op2_flac,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_simhash": op6_simhash,
+    "op8_hpylm": op8_hpylm,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
     "op4_mixing": op4_mixing,
