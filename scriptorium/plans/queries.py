@@ -1,20 +1,413 @@
-"""The driver's queries over the reference's operators, each with its SQL."""
+"""The driver's queries over the engine's operators, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import align
+from scriptorium.functions import text as T
+from scriptorium.operators import arbitrate, buckets, diverge, joins, metrics, paragraphs, resample, sampling
+from scriptorium.plans.derived import BLOCKS_SQL, NUMBER_SQL, PAIRS_SQL, WORDS_SQL, by_document, pairs, triples, words
+from scriptorium.profiles import ENGLISH, GENERIC, LATIN, MARKERS, PUNCTUATION
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def quoted(items) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+
+
+CER = "coalesce(sum(ed)::DOUBLE / nullif(sum(len), 0)::DOUBLE, 0.0)"
+
+
+@query(f"""WITH {PAIRS_SQL}, d AS (SELECT doc_id, lang, ord, sum(ed)::BIGINT AS ed, sum(len)::BIGINT AS len FROM pairs GROUP BY ALL),
+b AS (SELECT *, CASE WHEN len <= 500 THEN 'short' WHEN len <= 2000 THEN 'medium' ELSE 'long' END AS bucket FROM d)
+SELECT ord, CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(bucket) = 0 THEN 'bucket' ELSE 'all' END AS axis,
+  coalesce(CASE WHEN grouping(lang) = 0 THEN lang END, CASE WHEN grouping(bucket) = 0 THEN bucket END, '') AS value,
+  count(*) AS n, sum(ed)::BIGINT AS edits, sum(len)::BIGINT AS chars, {CER} AS cer
+FROM b GROUP BY GROUPING SETS ((ord), (ord, lang), (ord, bucket))""")
 def cer_by_stream_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.when(F.col("len") <= 500, "short").when(F.col("len") <= 2000, "medium").otherwise("long")
+    return metrics.cer_by_sets(by_document(spark, sf_dir).withColumn("bucket", bucket), "ord", ["lang", "bucket"])
+
+
+@query(f"WITH {PAIRS_SQL}, d AS (SELECT doc_id, source, ord, sum(ed)::DOUBLE / sum(len)::DOUBLE AS c FROM pairs GROUP BY ALL) SELECT source, ord, round(avg(c), 9) AS cer FROM d GROUP BY ALL")
+def macro_cer_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.macro_cer(by_document(spark, sf_dir), "source", "ord").withColumn("cer", F.round("cer", 9))
+
+
+@query(f"WITH {PAIRS_SQL}, c AS (SELECT ord, sum(ed)::BIGINT AS edits, {CER} AS cer FROM pairs GROUP BY ord) SELECT ord, edits, cer, row_number() OVER (ORDER BY cer, ord)::INT AS rank FROM c")
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = metrics.cer(pairs(spark, sf_dir), "ord").select("ord", "edits", "cer")
+    return rates.withColumn("rank", F.row_number().over(Window.orderBy("cer", "ord")))
+
+
+@query("""WITH l AS (SELECT list_sort(list(length(text))) AS x FROM documents WHERE length(text) > 0)
+SELECT len(x) AS n, x[len(x) // 4 + 1] AS q1, x[len(x) // 2 + 1] AS q2, x[3 * len(x) // 4 + 1] AS q3 FROM l""")
+def quartile_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.quartile_cuts(table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH l AS (SELECT list_sort(list(length(text))) AS x FROM documents WHERE length(text) > 0), c AS (SELECT x[len(x) // 4 + 1] AS q1, x[len(x) // 2 + 1] AS q2, x[3 * len(x) // 4 + 1] AS q3 FROM l),
+w AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents),
+r AS (SELECT *, CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_filter(ws, lambda x: lower(x) IN ({quoted(ENGLISH)})))::DOUBLE / len(ws)::DOUBLE END AS en FROM w),
+t AS (SELECT doc_id, unnest([CASE WHEN length(text) <= q1 THEN 'len-q1' WHEN length(text) <= q2 THEN 'len-q2' WHEN length(text) <= q3 THEN 'len-q3' ELSE 'len-q4' END,
+  CASE WHEN regexp_matches(text, '[{LATIN}]') THEN 'lang-own' WHEN regexp_matches(text, '[A-Za-z]') AND en >= 0.2 THEN 'lang-en' WHEN regexp_matches(text, '[A-Za-z]') THEN 'lang-own' ELSE 'lang-other' END,
+  CASE WHEN len(list_filter(lines[1:len(lines) - 1], lambda x: regexp_matches(rtrim(x), '[^ ][-­]$'))) > 0 THEN 'linehyp-yes' ELSE 'linehyp-no' END,
+  CASE WHEN contains(text, '—') THEN 'em-dash-yes' ELSE 'em-dash-no' END, CASE WHEN len(lines) > 1 THEN 'multi-line' ELSE 'single-line' END]) AS tag FROM r, c)
+SELECT tag, count(*) AS n FROM t GROUP BY tag""")
+def bucket_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cuts = buckets.quartile_cuts(docs).first()
+    tags = F.explode(buckets.tags(F.col("text"), F.split("text", "\n"), (cuts["q1"], cuts["q2"], cuts["q3"]))).alias("tag")
+    return docs.select(tags).where(~F.col("tag").startswith("prefix-")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH w AS (SELECT lang, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents),
+r AS (SELECT lang, CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_filter(ws, lambda x: lower(x) IN ({quoted(ENGLISH)})))::DOUBLE / len(ws)::DOUBLE END AS en FROM w)
+SELECT lang, count(*) AS n, sum(CASE WHEN en >= 0.2 THEN 1 ELSE 0 END)::BIGINT AS english, round(avg(en), 9) AS ratio FROM r GROUP BY lang""")
+def english_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("lang", T.english_ratio(F.col("text")).alias("en"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("en") >= 0.2, 1).otherwise(0)).alias("english"), F.round(F.avg("en"), 9).alias("ratio"))
+
+
+def _hits(name: str) -> str:
+    return f"len(list_intersect(list_distinct(ws), [{quoted(MARKERS[name])}]))"
+
+
+@query(f"""WITH w AS (SELECT lang, lower(text) AS low, regexp_extract_all(lower(text), '\\p{{L}}+') AS ws FROM documents),
+h AS (SELECT lang, len(ws) AS n, {_hits('ltz')} + CASE WHEN regexp_matches(low, 'ë|iewe|aach|oer') THEN 1 ELSE 0 END AS l, {_hits('fr')} AS f, {_hits('de')} AS d FROM w),
+b AS (SELECT *, greatest(l, f, d) AS best, list_reverse_sort([l, f, d])[2] AS second FROM h)
+SELECT lang, CASE WHEN n < 3 OR best = 0 OR (best <= 1 AND n < 6) OR best - second < 1 THEN 'unclear' WHEN l = best THEN 'ltz' WHEN f = best THEN 'fr' ELSE 'de' END AS found, count(*) AS n FROM b GROUP BY ALL""")
+def language_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("lang", T.marker_language(F.col("text")).alias("found")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH v AS (SELECT doc_id, text, length(regexp_replace(text, '\s', '', 'g'))::DOUBLE AS seen, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS a, length(regexp_replace(text, '[^0-9]', '', 'g')) AS d,
+  list_filter(list_transform(regexp_split_to_array(text, '[\n\r]+'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '') AS lines FROM documents),
+s AS (SELECT doc_id, CASE WHEN length(trim(text)) < 200 THEN -1.0::DOUBLE ELSE a / seen - 2.0::DOUBLE * (d / seen) -
+  CASE WHEN list_sum(list_transform(lines, lambda x: length(x)))::DOUBLE / len(lines)::DOUBLE < 40 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END END AS score FROM v)
+SELECT doc_id, round(score, 9) AS score FROM s WHERE score > 0.55 ORDER BY score DESC, doc_id DESC LIMIT 200""")
+def prose_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.prose_score(F.col("text")).alias("score"))
+    return sampling.quality_top(rows, "score", "doc_id", 0.55, 200).select("doc_id", F.round("score", 9).alias("score"))
+
+
+def grams_sql(name: str, source: str, key: str, n: int = 5) -> str:
+    return f"""{name}_w AS (SELECT {key}, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM {source}),
+{name} AS (SELECT {key}, list_distinct(list_transform(generate_series(1, greatest(len(ws) - {n - 1}, 1)), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS grams FROM {name}_w WHERE len(ws) > 0)"""
+
+
+@query(f"""WITH {grams_sql('a', 'documents', 'doc_id')}, {grams_sql('b', 'benchmark', 'item_id')},
+x AS (SELECT doc_id, len(grams) AS na, unnest(grams) AS gram FROM a), y AS (SELECT item_id, len(grams) AS nb, unnest(grams) AS gram FROM b),
+s AS (SELECT doc_id, item_id, count(*) AS shared, any_value(na) AS na, any_value(nb) AS nb FROM x JOIN y USING (gram) GROUP BY ALL)
+SELECT doc_id, item_id, shared, shared::DOUBLE / (na + nb - shared)::DOUBLE AS jaccard, shared::DOUBLE / nb::DOUBLE AS containment FROM s""")
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = joins.similar(table(spark, sf_dir, "documents"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS copies FROM documents")
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.exact_copies(table(spark, sf_dir, "documents"))
+
+
+STRIP_SQL = f"trim(w, '{PUNCTUATION.replace(chr(39), chr(39) * 2)}')"
+LEXICON_SQL = f"""lexicon AS (SELECT word, count(*) AS n FROM (SELECT unnest([k, lower(k)]) AS word FROM (SELECT {STRIP_SQL} AS k FROM words)) WHERE length(word) BETWEEN 2 AND 40 GROUP BY word HAVING count(*) >= 2)"""
+
+
+def _lexicon(rows: DataFrame) -> DataFrame:
+    return metrics.lexicon(rows.select(T.lookup_key(F.col("w")).alias("w")))
+
+
+@query(f"WITH {WORDS_SQL}, {LEXICON_SQL} SELECT word, n FROM lexicon")
+def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(words(spark, sf_dir))
+
+
+@query(f"""WITH {WORDS_SQL}, {LEXICON_SQL}, b AS (SELECT {STRIP_SQL} AS w FROM (SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM benchmark)),
+t AS (SELECT w, count(*) AS n FROM b WHERE w <> '' GROUP BY w), o AS (SELECT n, w NOT IN (SELECT word FROM lexicon) AND lower(w) NOT IN (SELECT word FROM lexicon) AS oov FROM t)
+SELECT count(*) AS types, sum(n)::BIGINT AS tokens, coalesce(sum(CASE WHEN oov THEN 1 ELSE 0 END), 0)::BIGINT AS oov_types, coalesce(sum(CASE WHEN oov THEN n ELSE 0 END), 0)::BIGINT AS oov_tokens FROM o""")
+def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    return metrics.oov(items.select(T.lookup_key(F.col("w")).alias("w")), _lexicon(words(spark, sf_dir)))
+
+
+INVENTORY_SQL = "c AS (SELECT doc_id, unnest(string_split(text, '')) AS letter FROM documents), i AS (SELECT letter, printf('U+%04X', unicode(letter)) AS code, count(*) AS n, min(doc_id) AS first_id FROM c WHERE letter <> '' GROUP BY letter)"
+
+
+@query(f"WITH {INVENTORY_SQL} SELECT * FROM i")
+def char_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.char_inventory(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+CHARSET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,;:!?'\"()-—" + LATIN
+
+
+@query(f"WITH {INVENTORY_SQL} SELECT letter, n FROM i WHERE NOT contains('{CHARSET.replace(chr(39), chr(39) * 2)}', letter)")
+def charset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.charset_violations(metrics.char_inventory(table(spark, sf_dir, "documents"), "text", "doc_id"), CHARSET).select("letter", "n")
+
+
+@query(f"""WITH {PAIRS_SQL}, x AS (SELECT string_split(w, '') AS a, string_split(hyp, '') AS b, least(length(w), length(hyp)) AS k FROM pairs WHERE w <> hyp AND length(hyp) > 0),
+y AS (SELECT unnest(a[1:k]) AS ref, unnest(b[1:k]) AS hyp FROM x) SELECT ref, hyp, count(*) AS n FROM y WHERE ref <> hyp GROUP BY ALL ORDER BY n DESC, ref, hyp LIMIT 50""")
+def positional_confusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.positional_confusions(pairs(spark, sf_dir), "w", "hyp").orderBy(F.desc("n"), "ref", "hyp").limit(50)
+
+
+def _aligned(spark: SparkSession, sf_dir: str, column: str = "ord") -> DataFrame:
+    """Letters of distinct differing pairs are aligned once; n says how often the pair stands."""
+    rows = pairs(spark, sf_dir).where("w <> hyp").groupBy("ord", "w", "hyp").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("pairs", align.align_letters(F.col("w"), F.col("hyp")))
+
+
+@query()
+def confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    single = _aligned(spark, sf_dir).select("ord", "n", F.explode("pairs").alias("p"))
+    counted = single.select("ord", "n", F.coalesce("p.a", F.lit("<INS>")).alias("ref"), F.coalesce("p.b", F.lit("<DEL>")).alias("hyp")).where("ref <> hyp")
+    return counted.groupBy("ord", "ref", "hyp").agg(F.sum("n").alias("n"))
+
+
+@query()
+def confusion_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = confusion_counts(spark, sf_dir).groupBy("ref", "hyp").agg(F.sum("n").alias("n"))
+    return metrics.confusion_probabilities(counts)
+
+
+@query()
+def canary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs(spark, sf_dir).where((F.col("ord") == 1) & (T.canaries(F.col("w")) + T.canaries(F.col("hyp")) > 0)).select("w", "hyp")
+    return metrics.canary_table(rows.select(align.align_letters(F.col("w"), F.col("hyp")).alias("pairs")), GENERIC.canaries, GENERIC.fold, GENERIC.to)
+
+
+@query(f"""WITH {BLOCKS_SQL.format(by="", over="")}, d AS (SELECT draw, ({NUMBER_SQL.format("'42|' || draw || '|' || s")} % m)::BIGINT AS slot FROM (SELECT unnest(generate_series(0, 999)) AS draw), (SELECT unnest(generate_series(0, max(n) - 1)) AS s, max(n) AS m FROM slots)),
+r AS (SELECT draw, sum(ev)::DOUBLE / sum(len)::DOUBLE - sum(eb)::DOUBLE / sum(len)::DOUBLE AS delta FROM d JOIN slots USING (slot) GROUP BY draw)
+SELECT round(quantile_cont(delta, 0.025), 12) AS lo, round(quantile_cont(delta, 0.975), 12) AS hi FROM r""")
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resample.interval(resample.bootstrap(resample.blocks(triples(spark, sf_dir))))
+    return got.select(*(F.round(c, 12).alias(c) for c in ("lo", "hi")))
+
+
+@query(f"""WITH {BLOCKS_SQL.format(by="lang,", over="PARTITION BY lang")}, m AS (SELECT lang, max(n) AS m FROM slots GROUP BY lang), s AS (SELECT lang, m, unnest(generate_series(0, m - 1)) AS s FROM m),
+d AS (SELECT lang, draw, ({NUMBER_SQL.format("'42|' || draw || '|' || s")} % m)::BIGINT AS slot FROM s, (SELECT unnest(generate_series(0, 499)) AS draw)),
+r AS (SELECT lang, draw, sum(ev)::DOUBLE / sum(len)::DOUBLE - sum(eb)::DOUBLE / sum(len)::DOUBLE AS delta FROM d JOIN slots USING (lang, slot) GROUP BY ALL),
+i AS (SELECT lang, round(quantile_cont(delta, 0.025), 12) AS lo, round(quantile_cont(delta, 0.975), 12) AS hi FROM r GROUP BY lang)
+SELECT *, CASE WHEN lo <= 0 AND hi >= 0 THEN 'INSIDE NOISE' WHEN hi < 0 THEN 'KEEP' ELSE 'DROP' END AS verdict FROM i""")
+def verdict_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.bootstrap(resample.blocks(triples(spark, sf_dir), "lang"), "lang", draws=500)
+    got = resample.interval(drawn, "lang").select("lang", *(F.round(c, 12).alias(c) for c in ("lo", "hi")))
+    return got.withColumn("verdict", resample.verdict(F.col("lo"), F.col("hi")))
+
+
+@query(f"""WITH {BLOCKS_SQL.format(by="lang,", over="PARTITION BY lang")}, o AS (SELECT lang, sum(ev - eb) AS d, sum(len) AS len FROM blocks GROUP BY lang),
+f AS (SELECT lang, draw, sum(CASE WHEN {NUMBER_SQL.format("'7|' || draw || '|' || block")} % 2 = 0 THEN ev - eb ELSE eb - ev END) AS d FROM blocks, (SELECT unnest(generate_series(0, 999)) AS draw) GROUP BY ALL),
+p AS (SELECT o.lang, any_value(o.d)::DOUBLE / any_value(o.len)::DOUBLE AS delta, (sum(CASE WHEN abs(f.d) >= abs(o.d) THEN 1 ELSE 0 END) + 1)::DOUBLE / (count(*) + 1)::DOUBLE AS p FROM o JOIN f USING (lang) GROUP BY o.lang),
+k AS (SELECT *, row_number() OVER (ORDER BY p, lang) AS rank, count(*) OVER () AS m FROM p)
+SELECT lang, delta, p, rank::INT AS rank, coalesce(rank <= max(CASE WHEN p <= rank * 0.05::DOUBLE / m THEN rank END) OVER (), false) AS significant FROM k""")
+def sign_flips_with_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = resample.sign_flips(resample.blocks(triples(spark, sf_dir), "lang"), "lang")
+    return resample.benjamini_hochberg(tests, order="lang")
+
+
+@query(f"""WITH {BLOCKS_SQL.format(by="", over="")} SELECT {NUMBER_SQL.format("'13|' || id")} % 5 AS fold, count(*) AS n, sum(ev)::DOUBLE / sum(len)::DOUBLE AS cer FROM triples GROUP BY 1""")
+def kfold_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.folds(triples(spark, sf_dir))
+
+
+@query()
+def bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([resample.bca(resample.blocks(triples(spark, sf_dir)), draws=1000)], "delta double, lo double, hi double")
+
+
+@query("""WITH c AS (SELECT source, unnest(string_split(text, '')) AS x FROM documents), n AS (SELECT source, x, count(*) AS n FROM c WHERE x <> '' GROUP BY ALL),
+g AS (SELECT DISTINCT source FROM n), q AS (SELECT x, sum(n) / (SELECT sum(n) FROM n) AS q FROM n GROUP BY x),
+p AS (SELECT g.source, q.x, coalesce(n.n, 0) / sum(n.n) OVER (PARTITION BY g.source) AS p, q FROM g CROSS JOIN q LEFT JOIN n ON n.source = g.source AND n.x = q.x)
+SELECT source, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + q * log2(q / ((p + q) / 2))) / 2, 9) AS js FROM p GROUP BY source""")
+def js_divergence_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = table(spark, sf_dir, "documents").select("source", F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("x"))
+    counts = letters.groupBy("source", "x").agg(F.count(F.lit(1)).alias("n"))
+    return diverge.jensen_shannon(counts, "source", "x").withColumn("js", F.round("js", 9))
+
+
+@query("""WITH v AS (SELECT lang, length(text) AS n FROM documents), g AS (SELECT DISTINCT lang FROM v), d AS (SELECT DISTINCT n FROM v),
+f AS (SELECT g.lang, d.n, (SELECT count(*) FROM v WHERE v.lang = g.lang AND v.n <= d.n)::DOUBLE / (SELECT count(*) FROM v WHERE v.lang = g.lang) AS a,
+ (SELECT count(*) FROM v WHERE v.n <= d.n)::DOUBLE / (SELECT count(*) FROM v) AS b FROM g, d) SELECT lang, round(max(abs(a - b)), 9) AS ks FROM f GROUP BY lang""")
+def ks_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("n"))
+    return diverge.kolmogorov_smirnov(rows, "lang", "n").withColumn("ks", F.round("ks", 9))
+
+
+@query("""WITH o AS (SELECT source, lang, count(*)::DOUBLE AS o FROM documents GROUP BY ALL), g AS (SELECT source, sum(o) AS g FROM o GROUP BY source), t AS (SELECT lang, sum(o) AS t FROM o GROUP BY lang),
+c AS (SELECT g.source, coalesce(o.o, 0) AS o, g.g * t.t / (SELECT sum(o) FROM o) AS e FROM g CROSS JOIN t LEFT JOIN o ON o.source = g.source AND o.lang = t.lang)
+SELECT source, round(sum((o - e) * (o - e) / e), 6) AS chi2, (count(*) - 1)::BIGINT AS df FROM c GROUP BY source""")
+def chi2_language_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return diverge.chi_square(rows, "source", "lang").withColumn("chi2", F.round("chi2", 6))
+
+
+@query("""SELECT lang, quality, count(*) AS n, sum(toxic)::BIGINT AS toxic, sum(length(text))::BIGINT AS chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
+def label_quality_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("k")).join(table(spark, sf_dir, "labels"), "doc_id")
+    return joined.groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.sum("k").alias("chars"))
+
+
+@query("SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY source")
+def heldout_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href=["'']([^"''#?]+)["'']', 1)) AS link FROM pages)""")
+def href_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(paragraphs.links(F.col("html"))).alias("link"))
+
+
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<script[^>]*>.*?</style>|<style[^>]*>.*?</script>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g') AS t FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b""")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", paragraphs.visible_text(F.col("html")).alias("text"))
+
+
+@query()
+def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(paragraphs.chunks(F.col("text"))).alias("chunk", "text"))
+
+
+@query(r"SELECT doc_id, len(lines) AS n_lines, list_sum(list_transform(lines, lambda x: length(x)))::BIGINT AS chars FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents)")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("x"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n_lines"), F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+@query()
+def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", paragraphs.join_lines(F.split("text", "\n")).alias("paragraph"))
+
+
+VOTE_SQL = f"""k AS (SELECT w, {STRIP_SQL} AS key FROM (SELECT DISTINCT hyp AS w FROM pairs)), known AS (SELECT w AS word, key <> '' AND (key IN (SELECT word FROM lexicon) OR lower(key) IN (SELECT word FROM lexicon)) AS known FROM k),
+a AS (SELECT doc_id, p, hyp AS anchor FROM pairs WHERE ord = 0), c AS (SELECT doc_id, p, ord, anchor, hyp AS candidate FROM pairs JOIN a USING (doc_id, p) WHERE ord > 0 AND hyp <> anchor),
+e AS (SELECT c.*, x.known AS ka, y.known AS kc, translate(anchor, '{LATIN}', '@CONTROL@') AS ta, translate(candidate, '{LATIN}', '@CONTROL@') AS tc,
+  trim(anchor, '@STRIP@') AS na, trim(candidate, '@STRIP@') AS nc FROM c JOIN known x ON x.word = anchor JOIN known y ON y.word = candidate),
+m AS (SELECT *, length(anchor) - length(translate(anchor, '{LATIN}', '')) AS da, length(candidate) - length(translate(candidate, '{LATIN}', '')) AS dc,
+  length(regexp_replace(anchor, '[^\\p{{L}}]', '', 'g')) AS la, length(regexp_replace(candidate, '[^\\p{{L}}]', '', 'g')) AS lc FROM e),
+d AS (SELECT *, CASE WHEN na <> '' AND nc <> '' AND translate(lower(na), '{LATIN}', 'ACEEEINOOUsaceeeinoou') = translate(lower(nc), '{LATIN}', 'ACEEEINOOUsaceeeinoou') AND dc > da AND kc
+    AND levenshtein(translate(na, '{LATIN}', '@CONTROL@'), translate(nc, '{LATIN}', '@CONTROL@')) <= 2 THEN candidate
+  WHEN ka OR NOT kc THEN anchor WHEN lc >= la AND la >= 3 AND lc >= 3 AND length(candidate) >= length(anchor) - 1 AND abs(length(anchor) - length(candidate)) <= 2 AND dc >= da
+    AND levenshtein(ta, tc) BETWEEN 1 AND 2 THEN candidate ELSE anchor END AS swap FROM m),
+v AS (SELECT doc_id, p, swap, count(*) AS votes, min(ord) AS ord FROM d WHERE swap <> anchor GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, p ORDER BY votes DESC, ord) AS r FROM v)"""
+
+
+def _vote_sql() -> str:
+    from scriptorium.plans.derived import _CONTROL
+
+    return VOTE_SQL.replace("@CONTROL@", _CONTROL).replace("@STRIP@", PUNCTUATION.replace("'", "''"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, p, w, anchor, ord, candidate); streams are made together, so the anchor needs no join."""
+    from scriptorium.plans.derived import stream_words
+
+    rows = words(spark, sf_dir).select("doc_id", "p", "w", F.array(*stream_words(F.col("w"), F.col("p"))).alias("_s"))
+    return rows.select("doc_id", "p", "w", F.get("_s", F.lit(0)).alias("anchor"), F.posexplode("_s").alias("ord", "candidate")).where("ord > 0")
+
+
+@query(f"""WITH {PAIRS_SQL}, {LEXICON_SQL}, {_vote_sql()} SELECT doc_id, p, swap AS voted FROM r WHERE r = 1""")
+def plurality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voted = arbitrate.vote(_tokens(spark, sf_dir), _lexicon(words(spark, sf_dir)), ("doc_id", "p"))
+    return voted.where("voted <> anchor").select("doc_id", "p", "voted")
+
+
+@query()
+def vote_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rate of the anchor and of the vote with and without restoration, and with the frequency tie-break."""
+    tokens, lexicon = _tokens(spark, sf_dir), _lexicon(words(spark, sf_dir))
+    refs = tokens.where("ord = 1").select("doc_id", "p", "w", "anchor")
+    ways = {"full": {}, "no restoration": {"restore": False}, "frequency": {"frequency": lexicon}}
+    out = refs.select(F.lit("anchor").alias("config"), "w", F.col("anchor").alias("voted"))
+    for name, how in ways.items():
+        voted = arbitrate.vote(tokens, lexicon, ("doc_id", "p"), **how).select("doc_id", "p", "voted")
+        out = out.union(refs.join(voted, ["doc_id", "p"]).select(F.lit(name), "w", "voted"))
+    return metrics.cer(out.select("config", metrics.edits(F.col("w"), F.col("voted")).alias("ed"), F.length("w").alias("len")), "config")
+
+
+@query(f"""WITH {PAIRS_SQL}, d AS (SELECT doc_id, ord, sum(ed)::BIGINT AS ed, sum(len)::BIGINT AS len FROM pairs GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ed, ord) AS r FROM d)
+SELECT ord, count(*) AS n, sum(ed)::BIGINT AS edits, sum(len)::BIGINT AS chars FROM b WHERE r = 1 GROUP BY ord""")
+def oracle_best_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = by_document(spark, sf_dir).groupBy("doc_id").agg(F.min(F.struct("ed", "ord", "len")).alias("b"))
+    return best.groupBy("b.ord").agg(F.count(F.lit(1)).alias("n"), F.sum("b.ed").alias("edits"), F.sum("b.len").alias("chars"))
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT a.ord AS ord_a, b.ord AS ord_b, count(*) AS positions, sum(CASE WHEN a.hyp <> b.hyp THEN 1 ELSE 0 END)::BIGINT AS differing
+FROM pairs a JOIN pairs b ON a.doc_id = b.doc_id AND a.p = b.p AND a.ord < b.ord WHERE a.ord > 0 GROUP BY ALL""")
+def stream_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arbitrate.disagreement(_tokens(spark, sf_dir), ("doc_id", "p"))
+
+
+@query(f"""WITH {PAIRS_SQL}, b AS (SELECT doc_id, p, any_value(len) AS len, min(ed) AS ed FROM pairs GROUP BY ALL) SELECT sum(ed)::BIGINT AS edits, sum(len)::BIGINT AS chars, {CER} AS cer FROM b""")
+def oracle_best_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = pairs(spark, sf_dir).groupBy("doc_id", "p").agg(F.min("ed").alias("ed"), F.first("len").alias("len"))
+    return best.agg(F.sum("ed").alias("edits"), F.sum("len").alias("chars"), metrics.rate(F.col("ed"), F.col("len")).alias("cer"))
+
+
+@query()
+def corrected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tokens(spark, sf_dir).where("ord = 3").select(F.col("anchor").alias("word"))
+    return arbitrate.corrected_words(rows, confusion_probabilities(spark, sf_dir), _lexicon(words(spark, sf_dir)))
+
+
+@query(r"""SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN (doc_id % 100) || ' - ' || text WHEN doc_id % 3 = 1 THEN (doc_id % 100) || '-' || text ELSE text END, '^\s*(\d{1,2})(?:\s+[-–—]\s*|\s*[-–—]\s+|\s*[–—]\s*)(\p{L})', '\1 — \2') AS text FROM documents""")
+def lead_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("doc_id") % 100).cast("string")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(k, F.lit(" - "), "text")).when(F.col("doc_id") % 3 == 1, F.concat(k, F.lit("-"), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.lead_marker(text).alias("text"))
+
+
+@query(f"""WITH o AS (SELECT doc_id, {NUMBER_SQL.format("'42|' || doc_id")} AS h FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS r FROM o)
+SELECT doc_id, CASE WHEN r <= 200 THEN 'eval' ELSE 'train' END AS split FROM r""")
+def eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.eval_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 200)
+
+
+@query(f"""WITH s AS (SELECT doc_id, source AS bucket, row_number() OVER (PARTITION BY source ORDER BY {NUMBER_SQL.format("'0|' || doc_id")}, doc_id) AS turn, count(*) OVER (PARTITION BY source) AS size FROM documents)
+SELECT doc_id, bucket, turn::INT AS turn FROM s ORDER BY turn, size, bucket, doc_id LIMIT 100""")
+def round_robin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("b"))
+    return sampling.round_robin(rows, "doc_id", "b", 100)
+
+
+@query("""WITH b AS (SELECT vec_id, list_sum(list_transform(generate_series(1, least(len(embedding) - 1, 63)), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::BIGINT AS bits FROM embeddings)
+SELECT vec_id, bits FROM b""")
+def sign_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", joins.sign_bits(F.col("embedding")).alias("bits"))
 
 
-QUERIES: dict[str, Query] = {"cer_by_stream_bucket": cer_by_stream_bucket}
-SQL: dict[str, str] = {"cer_by_stream_bucket": "SELECT lang, count(*) AS n FROM documents GROUP BY lang"}
+@query()
+def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct hashes within 4 bits of each other."""
+    hashes = sign_bits(spark, sf_dir).groupBy("bits").agg(F.min("vec_id").alias("vec_id"))
+    return joins.hamming_pairs(hashes, "vec_id", "bits")
