@@ -18,5 +18,4 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    return session
