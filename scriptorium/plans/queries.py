@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import align
 from scriptorium.functions import text as T
-from scriptorium.operators import arbitrate, buckets, diverge, joins, metrics, paragraphs, resample, sampling
+from scriptorium.operators import arbitrate, buckets, diverge, forensic, joins, metrics, paragraphs, resample, sampling
 from scriptorium.plans.derived import BLOCKS_SQL, NUMBER_SQL, PAIRS_SQL, WORDS_SQL, by_document, pairs, triples, words
 from scriptorium.profiles import ENGLISH, GENERIC, LATIN, MARKERS, PUNCTUATION
 from scriptorium.sources.tables import table
@@ -411,3 +411,40 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct hashes within 4 bits of each other."""
     hashes = sign_bits(spark, sf_dir).groupBy("bits").agg(F.min("vec_id").alias("vec_id"))
     return joins.hamming_pairs(hashes, "vec_id", "bits")
+
+
+@query("""WITH l AS (SELECT list_sort(list(length(text))) AS x FROM documents)
+SELECT len(x) AS n, x[1] AS least, x[round_even(0.25 * (len(x) - 1), 0)::INT + 1] AS p25, x[round_even(0.5 * (len(x) - 1), 0)::INT + 1] AS median, x[round_even(0.75 * (len(x) - 1), 0)::INT + 1] AS p75,
+  x[round_even(0.95 * (len(x) - 1), 0)::INT + 1] AS p95, x[len(x)] AS most FROM l""")
+def length_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.length("text").alias("k"))
+    return forensic.nearest_rank(rows, "k", {"least": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "most": 1.0})
+
+
+@query("""SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars, min(length(text)) AS shortest, quantile_cont(length(text), 0.5)::DOUBLE AS median, round(avg(length(text)), 6) AS mean,
+  round(quantile_cont(length(text), 0.95)::DOUBLE, 6) AS p95, max(length(text)) AS longest FROM documents GROUP BY source""")
+def shard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forensic.shard_summary(table(spark, sf_dir, "documents"), "source", "text").withColumn("p95", F.round("p95", 6))
+
+
+@query("""WITH m AS (SELECT label, i, avg(embedding[i]) AS x FROM embeddings, (SELECT unnest(generate_series(1, 4096)) AS i) WHERE i <= len(embedding) GROUP BY ALL)
+SELECT a.label AS a, b.label AS b, round(sqrt(avg((a.x - b.x) * (a.x - b.x))), 6) AS rms FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL ORDER BY sqrt(avg((a.x - b.x) * (a.x - b.x))), 1, 2 LIMIT 50""")
+def label_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forensic.label_distances(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("rms", F.round("rms", 6))
+
+
+@query()
+def hyphenated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 60 characters with split words, and the class of what the joiner makes of them."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(paragraphs.wrapped(F.col("text"), 60))).alias("lines"))
+    made = rows.select("doc_id", F.explode(F.array(forensic.hyphenated(F.col("lines"), F.col("doc_id"), 0.3))).alias("h")).select("doc_id", "h.*")
+    joined = made.select("doc_id", "n", F.explode(F.array(F.struct("label", paragraphs.join_lines(F.col("printed")).alias("joined"), paragraphs.gold_from_parts(F.col("label")).alias("gold")))).alias("x")).select("doc_id", "n", "x.*")
+    return joined.select("doc_id", "n", forensic.failure_class(F.col("label"), F.col("gold"), F.col("joined")).alias("code"))
+
+
+@query()
+def dash_token_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rate of words with dashes where a recogniser reads long dashes for some hyphens; documents get hyphens by a rule."""
+    lines = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    refs = lines.select("lang", F.regexp_replace("line", r"(\p{L}{3}) (of|de|la|der) ", "$1-$2 ").alias("r"))
+    return metrics.cer(forensic.dash_token_pairs(refs.withColumn("h", F.regexp_replace("r", "e-", "e–")), "r", "h", "lang"), "lang")
