@@ -40,7 +40,7 @@ WINDOW, GRAM = 20, 8
 FREQUENT = 4096
 GROUP_BYTES = 4_000_000
 KEPT_WORDS = 400_000
-LOWEST = -(2**63)
+LOWEST, TAG = -(2**63), 2**32 - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,6 +113,11 @@ def sha_of(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _tag():
+    """32 bits of a hash that tell texts of equal doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(TAG))
+
+
 def _long(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64)) if len(x) else pa.array([], pa.int64())
 
@@ -179,7 +184,8 @@ def _first_pass(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(first: DataFrame) -> DataFrame:
-    """(doc_id, tag, payload): lists of anchors of documents that occur elsewhere too; several rows a document."""
+    """(doc_id, tag, payload): lists of anchors of documents that occur elsewhere too."""
+    blocks = _blocks(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
@@ -194,7 +200,7 @@ def _repeated(first: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             doc, tag, key = (np.concatenate(x) for x in zip(*found, strict=True))
             found.clear()
-            return _lists(doc, tag, key)
+            return _blobs(doc, tag, key, blocks)
 
         for batch in batches:
             if not batch.num_rows:
@@ -215,16 +221,61 @@ def _repeated(first: DataFrame) -> DataFrame:
     # A row r stands for two occurrences whose documents know of it.
     double = F.when(F.col("kind") == "r", F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))).otherwise(F.array(F.lit(1).cast("long")))
     rows = first.where("kind in ('a', 'r')").select("key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("doc_id", "tag")), F.explode(double).alias("told"))
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, tag bigint, payload binary")
+    return _gathered(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "block bigint, payload binary"), np.int64)
+
+
+def _blobs(doc: np.ndarray, tag: np.ndarray, value: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """(block, payload): values by document, the documents dealt over blocks; a payload holds documents, tags, counts, then values."""
+    block = (mixed(doc.view(np.uint64) ^ np.uint64(77)) % np.uint64(blocks)).astype(np.int64)
+    order = np.lexsort((value, tag, doc, block))
+    block, doc, tag, value = block[order], doc[order], tag[order], value[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (block[1:] != block[:-1])))
+    keep = new | np.concatenate(([True], value[1:] != value[:-1]))
+    block, doc, tag, value, new = block[keep], doc[keep], tag[keep], value[keep], new[keep]
+    names, out = [], []
+    for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
+        at = part[new[part]]
+        count = np.diff(np.append(at, part[-1] + 1))
+        names.append(int(block[part[0]]))
+        out.append(np.array([len(at)], np.int64).tobytes() + doc[at].tobytes() + tag[at].tobytes() + count.astype(np.int64).tobytes() + value[part].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["block", "payload"])
+
+
+def _gathered(blobs: DataFrame, kind: type) -> DataFrame:
+    """(doc_id, tag, payload): one row a document, from the blobs of all partitions, a block of documents at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            columns: list[list[np.ndarray]] = [[], [], []]
+            for data in parts:
+                n = int(np.frombuffer(data, np.int64, 1)[0])
+                head = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
+                for c, x in zip(columns, (np.repeat(head[0], head[2]), np.repeat(head[1], head[2]), np.frombuffer(data, kind, -1, 8 + 24 * n)), strict=True):
+                    c.append(x)
+            doc, tag, value = (np.concatenate(c) for c in columns)
+            order = np.lexsort((value, tag, doc))
+            doc, tag, value = doc[order], tag[order], value[order]
+            cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])) + 1
+            first = np.concatenate(([0], cuts))
+            lists = [np.unique(x).tobytes() for x in np.split(value, cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tag[first]), pa.array(lists, pa.binary())], names=["doc_id", "tag", "payload"])
+
+        block, held = None, []
+        for batch in batches:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != block and held:
+                    yield from told(held)
+                    held = []
+                block = b
+                held.append(data)
+        if held:
+            yield from told(held)
+
+    return blobs.repartition("block").sortWithinPartitions("block").mapInArrow(run, "doc_id bigint, tag bigint, payload binary")
 
 
-def _lists(doc: np.ndarray, tag: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    """(doc_id, tag, payload): the distinct values of each document as bytes."""
-    order = np.lexsort((value, tag, doc))
-    d, t, v = doc[order], tag[order], value[order]
-    cuts = np.flatnonzero((d[1:] != d[:-1]) | (t[1:] != t[:-1])) + 1
-    first = np.concatenate(([0], cuts))
-    return pa.RecordBatch.from_arrays([pa.array(d[first], pa.int64()), pa.array(t[first], pa.int64()), pa.array([np.unique(x).tobytes() for x in np.split(v, cuts)], pa.binary())], names=["doc_id", "tag", "payload"])
+def _blocks(df: DataFrame) -> int:
+    return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _places_key(words: np.ndarray, windows: int, frequent: np.ndarray) -> np.ndarray:
@@ -241,12 +292,14 @@ def _places_key(words: np.ndarray, windows: int, frequent: np.ndarray) -> np.nda
     return key
 
 
-SECOND = "prefix bigint, high bigint, low bigint, doc_id bigint, tag bigint, at int, payload binary"
+#: place: start and tag of a suffix in one number, in order of the start.
+SECOND = "prefix bigint, high bigint, low bigint, doc_id bigint, place bigint, payload binary"
 
 
 def _suffixes(docs: DataFrame, frequent: list[int]) -> DataFrame:
-    """From rows (doc_id, tag, text, payload: anchors that repeat): suffixes, the first of its sort in its group of rows; and with payload, starts of windows of a document that are known to go."""
+    """From rows (doc_id, tag, text, payload: anchors that repeat): suffixes, the first of its sort in its group of rows; and without place, starts of windows that are known to go (doc_id: block)."""
     ship(docs.sparkSession)
+    blocks = _blocks(docs)
     often = np.sort(np.array(frequent, np.int64).view(np.uint64))
     names = [c.split()[0] for c in SECOND.split(", ")]
 
@@ -262,40 +315,40 @@ def _suffixes(docs: DataFrame, frequent: list[int]) -> DataFrame:
                 at = np.flatnonzero(np.isin(a, np.frombuffer(r["payload"], np.uint64)))
                 if len(at):
                     high, low, key = (f[at] for f in (rolling(h, WINDOW, FACTORS[0]), rolling(h, WINDOW, FACTORS[1]), _places_key(h, len(a), often)))
-                    parts.append((key, high, low, np.full(len(at), r["doc_id"]), np.full(len(at), r["tag"]), at.astype(np.int32)))
+                    parts.append((key, high, low, np.full(len(at), r["doc_id"]), at.astype(np.int64) << 32 | r["tag"]))
             if not parts:
                 continue
-            key, high, low, doc, tag, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((at, doc, low, high))
+            key, high, low, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((place, doc, low, high))
             new = np.concatenate(([True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])))
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            later = (doc[order] != doc[lead]) | (at[order] != at[lead])
+            later = (doc[order] != doc[lead]) | (place[order] >> 32 != place[lead] >> 32)
             gone, told = order[later], order[~later]
             empty = lambda n, t: pa.array([None] * n, t)
-            yield pa.RecordBatch.from_arrays(
-                [_long(key[told]), _long(high[told]), _long(low[told]), pa.array(doc[told], pa.int64()), pa.array(tag[told], pa.int64()), pa.array(at[told], pa.int32()), empty(len(told), pa.binary())], names=names
-            )
+            yield pa.RecordBatch.from_arrays([_long(key[told]), _long(high[told]), _long(low[told]), pa.array(doc[told]), pa.array(place[told]), empty(len(told), pa.binary())], names=names)
             if len(gone):
-                known_to_go = _lists(doc[gone], tag[gone], at[gone])
-                n = known_to_go.num_rows
-                spread = _long(mixed(known_to_go.column("tag").to_numpy().view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([spread, empty(n, pa.int64()), empty(n, pa.int64()), known_to_go.column(0), known_to_go.column(1), empty(n, pa.int32()), known_to_go.column(2)], names=names)
+                sure = _blobs(doc[gone], place[gone] & TAG, (place[gone] >> 32).astype(np.int32), blocks)
+                n = sure.num_rows
+                spread = _long(mixed(sure.column("block").to_numpy().view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([spread, *(empty(n, pa.int64()) for _ in range(2)), sure.column("block"), empty(n, pa.int64()), sure.column("payload")], names=names)
 
     return docs.select("doc_id", "tag", "text", "payload").mapInArrow(run, SECOND)
 
 
 def _later_leaves(suffixes: DataFrame) -> DataFrame:
     """(doc_id, tag, payload): starts of windows that start earlier elsewhere, from each prefix's subtree in order of suffix and place."""
+    blocks = _blocks(suffixes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, found = None, []
         for batch in batches:
-            leaf = batch.filter(batch.column("at").is_valid())
+            leaf = batch.filter(batch.column("place").is_valid())
             if leaf.num_rows < batch.num_rows:
-                known = batch.filter(batch.column("at").is_null())
-                yield pa.RecordBatch.from_arrays([known.column(c) for c in ("doc_id", "tag", "payload")], names=["doc_id", "tag", "payload"])
+                known = batch.filter(batch.column("place").is_null())
+                yield pa.RecordBatch.from_arrays([known.column("doc_id"), known.column("payload")], names=["block", "payload"])
             if leaf.num_rows:
-                prefix, high, low, doc, tag, at = (leaf.column(c).to_numpy() for c in ("prefix", "high", "low", "doc_id", "tag", "at"))
+                prefix, high, low, doc, place = (leaf.column(c).to_numpy() for c in ("prefix", "high", "low", "doc_id", "place"))
+                at = place >> 32
                 new = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
                 if last is not None and last[:3] == (prefix[0], high[0], low[0]):
                     new[0] = False
@@ -304,20 +357,20 @@ def _later_leaves(suffixes: DataFrame) -> DataFrame:
                 lead_at = np.where(start >= 0, at[start], last[4] if last else 0)
                 later = (doc != lead_doc) | (at != lead_at)
                 if later.any():
-                    found.append([doc[later], tag[later], at[later]])
+                    found.append([doc[later], place[later] & TAG, at[later].astype(np.int32)])
                 last = (prefix[-1], high[-1], low[-1], lead_doc[-1], lead_at[-1])
             if sum(len(f[0]) for f in found) > 1_000_000:
-                yield _lists(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield _blobs(*(np.concatenate(x) for x in zip(*found, strict=True)), blocks)
                 found = []
         if found:
-            yield _lists(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield _blobs(*(np.concatenate(x) for x in zip(*found, strict=True)), blocks)
 
-    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix", "high", "low", "doc_id", "at")
-    return ordered.mapInArrow(run, "doc_id bigint, tag bigint, payload binary")
+    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix", "high", "low", "doc_id", "place")
+    return _gathered(ordered.mapInArrow(run, "block bigint, payload binary"), np.int32)
 
 
 def _cut(docs: DataFrame, out_text: bool) -> DataFrame:
-    """(doc_id, tag, n_words, n_removed, kept_sha256 or kept_text) from rows (doc_id, tag, text, payloads: starts of windows to remove)."""
+    """(doc_id, tag, n_words, n_removed, kept_sha256 or kept_text) from rows (doc_id, tag, text, payload: starts of windows to remove)."""
     ship(docs.sparkSession)
     last = "kept_text string" if out_text else "kept_sha256 string"
 
@@ -328,7 +381,7 @@ def _cut(docs: DataFrame, out_text: bool) -> DataFrame:
                 words = split(r["text"])
                 n = len(words)
                 edge = np.zeros(n + WINDOW + 1, np.int32)
-                at = np.unique(np.concatenate([np.frombuffer(p, np.int32) for p in r["payloads"]]))
+                at = np.frombuffer(r["payload"], np.int32)
                 at = at[at + WINDOW <= n]
                 edge[at] += 1
                 edge[at + WINDOW] -= 1
@@ -338,7 +391,7 @@ def _cut(docs: DataFrame, out_text: bool) -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string())], names=["doc_id", "tag", "n_words", "n_removed", last.split()[0]])
 
-    return docs.select("doc_id", "tag", "text", "payloads").mapInArrow(run, f"doc_id bigint, tag bigint, n_words bigint, n_removed bigint, {last}")
+    return docs.select("doc_id", "tag", "text", "payload").mapInArrow(run, f"doc_id bigint, tag bigint, n_words bigint, n_removed bigint, {last}")
 
 
 def plan(docs: DataFrame, out_text: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -347,7 +400,7 @@ def plan(docs: DataFrame, out_text: bool = False) -> tuple[DataFrame, DataFrame]
     Documents: (doc_id, tag, n_words, sha, copy) of every row; copy: its words are those of a text with a smaller id.
     Cuts: (doc_id, tag, n_words, n_removed, kept_sha256 or kept_text) of the documents that lose some words but aren't copies.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), _tag().alias("tag"), "text")
     first = stored(_first_pass(docs), "anchors")
     rows = first.where("kind = 'd'").select("doc_id", "tag", F.col("payload").alias("digest"), F.col("n").alias("n_words"), "sha", "copy")
     least = rows.where("not copy").groupBy("digest").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
@@ -361,7 +414,7 @@ def plan(docs: DataFrame, out_text: bool = False) -> tuple[DataFrame, DataFrame]
     lists = anchored.groupBy("doc_id", "tag").agg(joined.alias("payload"))
     originals = every.where(f"not copy and n_words >= {WINDOW}").select("doc_id", "tag").distinct()
     chosen = lists.join(originals, ["doc_id", "tag"])
-    gone = _later_leaves(_suffixes(docs.join(chosen, ["doc_id", "tag"]), frequent)).groupBy("doc_id", "tag").agg(F.collect_list("payload").alias("payloads"))
+    gone = _later_leaves(_suffixes(docs.join(chosen, ["doc_id", "tag"]), frequent))
     return every, _cut(docs.join(gone, ["doc_id", "tag"]), out_text)
 
 
@@ -385,7 +438,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = every.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("doc_id", "tag", F.lit("").alias("_text"))
     new = cuts.where("n_removed > 0").select("doc_id", "tag", F.col("kept_text").alias("_text")).union(whole).dropDuplicates(["doc_id", "tag"])
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    rows = docs.select(F.struct(*columns).alias("_row"), F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), _tag().alias("tag"))
     joined = rows.join(stored(new, "cuts"), ["doc_id", "tag"], "left")
     fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return joined.select(*((F.when(F.col("_text").isNotNull(), fresh[c]).otherwise(F.col("_row")[c]) if c in fresh else F.col("_row")[c]).alias(c) for c in columns))
