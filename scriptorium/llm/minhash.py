@@ -1,0 +1,184 @@
+"""Near-duplicate rows of the corpus stage: five-word shingles, Jaccard similarity of 0.8 or more.
+
+Texts with equal shingle sets are one node. BANDS keys of ROWS minima each place a node in cells; two nodes of
+similarity s share no cell with probability (1 - s**ROWS)**BANDS, 3e-6 at 0.8. Candidates meet in cells and
+each link is checked on the whole shingle sets, so no link is below 0.8. First every member of a cell is
+checked against the least and the greatest; then, where a cell still holds several components, all members of
+different components. So all pairs that share a cell are linked, checked, or in one component already.
+
+Words are runs of bytes other than ASCII white space, lower-cased A-Z. A text of under five words is one
+shingle; texts without words are equal to each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from scriptorium.llm.common import chunks, ship, stored
+from scriptorium.llm.simhash import GROUP_BYTES, components
+
+SHINGLE, BANDS, ROWS = 5, 32, 5
+#: The least similarity of a link, as a fraction.
+SIMILAR = (4, 5)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles whose minima are taken at once; pairs in a batch.
+BLOCK, PAIRS = 512, 100_000
+_rng = np.random.default_rng(42)
+FLIP, TIMES = (_rng.integers(0, 2**64, BANDS * ROWS, np.uint64) for _ in range(2))
+TIMES |= np.uint64(1)
+
+
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x = (x ^ y) * MIX
+    return x ^ x >> np.uint64(29)
+
+
+def shingles(text: str | None, hashes: dict) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    words = (text or "").encode().lower().split()
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    k = min(len(w), SHINGLE)
+    x = np.full(len(w) - k + 1, k, np.uint64)
+    for j in range(k):
+        x = mixed(x, w[j : j + len(x)])
+    return np.unique(x)
+
+
+def band_keys(shingle: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(shingle), BLOCK):
+        np.minimum(least, ((shingle[k : k + BLOCK, None] ^ FLIP) * TIMES).min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = mixed(keys, column)
+    return keys.view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def nodes_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, node, cells) of every row: hash of the text, of its shingle set, keys of its cells."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in chunks(batches, GROUP_BYTES):
+            hashes = Hashes()
+            sets = [shingles(r["text"], hashes) for r in rows]
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            ids, key = pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["key"] for r in rows], pa.int64())
+            cells = pa.array([band_keys(s).tolist() for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, key, pa.array(node), cells], names=["doc_id", "key", "node", "cells"])
+
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id bigint, key bigint, node bigint, cells array<bigint>")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted (node, key), once each."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in chunks(batches, GROUP_BYTES):
+            hashes = Hashes()
+            sets = [shingles(r["text"], hashes).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["node"] for r in rows], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    texts = docs.select(text_key().alias("key"), "text").join(wanted, "key").select("node", "text")
+    return texts.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            near = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = both.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def crossing(members: DataFrame) -> DataFrame:
+    """(u, v): all pairs of members of a cell (cell, root, node) that have different roots."""
+
+    def told(pairs: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        u = np.repeat(np.array([p[0] for p in pairs], np.int64), [len(p[1]) for p in pairs])
+        v = np.concatenate([p[1] for p in pairs])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Rows by cell and root, no cell in two of the arrays."""
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy() for c in ("cell", "root", "node")]))
+            if held[0][0, 0] != held[-1][0, -1]:
+                x = np.concatenate(held, axis=1)
+                cut = int(np.flatnonzero(x[0] != x[0, -1])[-1]) + 1
+                yield x[:, :cut]
+                held = [x[:, cut:]]
+        if held:
+            yield np.concatenate(held, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in whole(b for b in batches if b.num_rows):
+            pairs, size = [], 0
+            for part in np.split(x, np.flatnonzero(np.diff(x[0])) + 1, axis=1):
+                after = np.searchsorted(part[1], part[1], "right")
+                for k in np.flatnonzero(after < part.shape[1]).tolist():
+                    pairs.append((int(part[2, k]), part[2, after[k] :]))
+                    size += len(pairs[-1][1])
+                    if size >= PAIRS:
+                        yield told(pairs)
+                        pairs, size = [], 0
+            if pairs:
+                yield told(pairs)
+
+    return members.repartition("cell").sortWithinPartitions("cell", "root").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def roots(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(node, root) of each node that is linked to another."""
+    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("key", "cells")).alias("x")).select("node", "x.*"), "nodes")
+    own = Window.partitionBy("cell")
+    cells = nodes.select("node", F.explode("cells").alias("cell")).select("node", "cell", F.min("node").over(own).alias("least"), F.max("node").over(own).alias("most"))
+    met = stored(cells.where("least < most"), "cells")
+    sets = stored(sets_of(docs, nodes.join(met.select("node").distinct(), "node").select("node", "key")), "sets")
+    stars = met.select(F.col("least").alias("u"), F.col("node").alias("v")).union(met.select(F.col("node").alias("u"), F.col("most").alias("v")))
+    links = stored(checked(stars.where("u < v").distinct(), sets), "near")
+    named = named_roots(links)
+    ends = met.join(named, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+    several = ends.select("*", F.min("root").over(own).alias("least"), F.max("root").over(own).alias("most")).where("least < most")
+    more = stored(checked(crossing(several.select("cell", "root", "node")), sets), "near")
+    return named if more.isEmpty() else named_roots(links.union(more))
+
+
+def named_roots(links: DataFrame) -> DataFrame:
+    found = components(links)
+    return found.select(F.col("v").alias("node"), F.col("u").alias("root")).union(found.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+
+
+def near_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, root) of every row: rows of one root are linked, by a chain of links of 0.8 or more."""
+    prints = stored(nodes_of(docs), "nodes")
+    return prints.join(roots(docs, prints), "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))

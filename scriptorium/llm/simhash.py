@@ -223,8 +223,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id, once; rows without doc_id stay. Columns of docs."""
-    groups = near_groups(docs)
+    """Of each group of rows of similar texts (minhash.py) the row with the smallest doc_id, once; rows without doc_id stay. Columns of docs."""
+    from scriptorium.llm import minhash
+
+    groups = minhash.near_rows(docs)
+    groups = stored(groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root"), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = stored(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")

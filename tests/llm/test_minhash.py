@@ -1,0 +1,50 @@
+"""The corpus stage's near-duplicates against brute force: five-word shingles, Jaccard 0.8."""
+
+import random
+
+from scriptorium.llm import minhash, simhash
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def groups(texts, least=0.8):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def near_texts():
+    rng = random.Random(21)
+    texts = [" ".join("w%d" % rng.randrange(4000) for _ in range(rng.randrange(3, 240))) for _ in range(60)]
+    for _ in range(200):
+        words = rng.choice(texts).split()
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(len(words))] = "x%d" % rng.randrange(4000)
+        texts.append(" ".join(words))
+    return [*texts, None, "", " \n"]
+
+
+def test_keep_first_keeps_one_of_each_group(spark):
+    texts = near_texts()
+    want = {k for k, root in enumerate(groups(texts)) if root == k}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == want and len(want) < len(texts) - 30
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_all_members_of_different_components_meet(spark):
+    rows = [(c, r, n) for c in range(3) for r, n in ((1, 1), (1, 2), (2, 3), (4, 4), (4, 5))]
+    got = {tuple(r) for r in minhash.crossing(spark.createDataFrame(rows, "cell bigint, root bigint, node bigint")).collect()}
+    assert got == {(1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5)}
