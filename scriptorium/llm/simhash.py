@@ -223,15 +223,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each group of rows of similar texts (minhash.py) the row with the smallest doc_id, once; rows without doc_id stay. Columns of docs."""
+    """Of each group of rows of similar texts (minhash.py) the smallest row by doc_id (null last) and hash of the text, once. Columns of docs."""
     from scriptorium.llm import minhash
 
-    groups = minhash.near_rows(docs)
-    groups = stored(groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = stored(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    groups = stored(minhash.near_rows(docs), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    of = lambda rows: rows.select(F.col("doc_id").alias("_of"), F.col("key").alias("_of_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (minhash.text_key() == F.col("_of_key"))
+    gone = groups.join(first, "root").where(~is_first).select("doc_id", "key").distinct()
+    left = docs.join(of(gone), same, "left_anti")
+    again = stored(of(groups.groupBy("doc_id", "key").count().where("count > 1")), "repeated")
     if again.isEmpty():
         return left
-    repeated = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(repeated)
+    repeated = left.join(again, same, "left_semi").withColumn("_key", minhash.text_key()).dropDuplicates(["doc_id", "_key"]).select(docs.columns)
+    return left.join(again, same, "left_anti").union(repeated)

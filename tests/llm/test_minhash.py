@@ -48,3 +48,11 @@ def test_all_members_of_different_components_meet(spark):
     rows = [(c, r, n) for c in range(3) for r, n in ((1, 1), (1, 2), (2, 3), (4, 4), (4, 5))]
     got = {tuple(r) for r in minhash.crossing(spark.createDataFrame(rows, "cell bigint, root bigint, node bigint")).collect()}
     assert got == {(1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5)}
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_by_text(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(90)) for x in "abcd")
+    rows = [(1, a), (2, a + " end"), (2, b), (2, c), (3, c), (3, c), (None, d), (None, d + " end"), (None, a), (4, d), (5, "x y z"), (5, "x y z"), (None, "q"), (None, "q")]
+    want = [(1, a), (2, b), (2, c), (4, d), (5, "x y z"), (None, "q")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert got.columns == ["doc_id", "text"] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
