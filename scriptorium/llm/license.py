@@ -36,7 +36,8 @@ class Rule:
 
 #: label, keyword, names of the license as patterns over words.
 FAMILIES = [
-    ("mit", "mit", ["mit", "expat"]),
+    ("mit", "mit", ["mit"]),
+    ("mit", "expat", ["expat"]),
     ("mit-0", "mit", ["mit no attribution", "mit 0"]),
     ("x11", "x11", ["x11", "mit x11"]),
     ("apache-1", "apache", ["apache (?:software )?license version 1(?: 0)?", "apache 1 0"]),
@@ -45,7 +46,8 @@ FAMILIES = [
     ("bsd-2-clause", "bsd", ["bsd 2 clause", "(?:simplified|freebsd) bsd", "two clause bsd"]),
     ("bsd-3-clause", "bsd", ["bsd 3 clause", "(?:new|modified|revised) bsd", "three clause bsd"]),
     ("bsd-4-clause", "bsd", ["bsd 4 clause", "(?:original|old) bsd", "four clause bsd"]),
-    ("0bsd", "bsd", ["0bsd", "zero clause bsd", "bsd zero clause"]),
+    ("0bsd", "0bsd", ["0bsd"]),
+    ("0bsd", "bsd", ["zero clause bsd", "bsd zero clause"]),
     ("gpl-1", "general public", ["gnu general public license v(?:ersion )?1(?: 0)?"]),
     ("gpl-2", "general public", ["gnu general public license v(?:ersion )?2(?: 0)?"]),
     ("gpl-3", "general public", ["gnu general public license v(?:ersion )?3(?: 0)?"]),
@@ -91,7 +93,8 @@ FAMILIES = [
     ("proprietary", "all rights", ["all rights reserved"]),
     ("openssl", "openssl", ["openssl"]),
     ("php", "php", ["php license(?: version 3 01)?"]),
-    ("python", "python", ["python software foundation license(?: version 2)?", "psf license"]),
+    ("python", "python", ["python software foundation license(?: version 2)?"]),
+    ("python", "psf", ["psf license"]),
     ("ruby", "ruby", ["ruby"]),
     ("postgresql", "postgresql", ["postgresql"]),
     ("ofl", "open font", ["sil open font license(?: version 1 1)?"]),
