@@ -129,9 +129,15 @@ def rules() -> list[Rule]:
     return out
 
 
+#: Keywords that are words of ordinary texts too: by themselves they don't open the gate.
+COMMON = ("mit", "ruby", "boost", "isc", "python", "php")
+
+
 def _gate(ruleset: list[Rule]) -> str:
-    words = sorted({r.keyword for r in ruleset} - {"mit", "ruby", "boost", "isc", "python", "php"})
-    return "(?i) (?:licen[cs]e|licensed|under the mit|" + "|".join(words) + ")"
+    """A pattern that every text with a match of some rule has: licen[cs]e, a keyword, or a common one after the words that all other forms put before it."""
+    words = sorted({r.keyword for r in ruleset} - set(COMMON))
+    named = "(?:under|subject to) (?:the |a )?(?:terms of the )?(?:" + "|".join(COMMON) + ")"
+    return "(?i) (?:" + "|".join(["licen[cs]e", named, *words]) + ")"
 
 
 def _spaces(s: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Every rule can be reached: what its pattern accepts holds its keyword."""
+"""Every rule can be reached: what its pattern accepts opens the gate and holds its keyword."""
 
 import itertools
 import re
@@ -41,3 +41,17 @@ def labels(spark, texts):
 def test_names_without_the_familys_word(spark):
     want = {"Licensed under the Expat license": "mit", "distributed under the PSF license": "python", "licensed under 0BSD": "0bsd"}
     assert labels(spark, list(want)) == want
+
+
+def test_each_sample_of_a_rule_opens_the_gate():
+    gate = re.compile(license._gate(license.rules()))
+    for rule in license.rules():
+        assert all(gate.search(f" {x} ") for x in samples(_parser.parse(rule.pattern))), rule
+
+
+def test_texts_with_a_common_name_alone(spark):
+    want = {
+        "released under MIT": "mit", "distributed under mit terms": "mit", "released under isc": "isc", "published under boost": "boost",
+        "available under the terms of the ruby": "ruby", "relicensed under mit": "mit", "written in ruby and python": "",
+    }
+    assert labels(spark, list(want)) == want
