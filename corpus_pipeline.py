@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import mixing, quality, simhash, spiece, substring
+from scriptorium.llm import mixing, quality, spiece, substring, widehash
 from scriptorium.llm.common import fresh_path, table
 from scriptorium.llm.queries import tokenizer
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """Of each group of documents linked by SimHash anchors and a checked similarity of 0.8 of their five-word shingles the one with the smallest doc_id."""
+    return widehash.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

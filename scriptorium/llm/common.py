@@ -34,9 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without it, as in tests, gets one of its own; elsewhere that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -54,6 +56,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is heavy if it has over one in so many rows, so at most so many are; each is dealt over PARTS.
+HEAVY, PARTS = 4096, 64
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Of rows (key, n) the keys with over total / HEAVY rows: HEAVY of them at most, so they may be broadcast."""
+    return counts.where(F.col(n) * HEAVY > total).select(F.col(key).alias("_heavy"))
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, heavy: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """rows joined to side (one row a key) by key; rows of heavy keys are dealt over PARTS by a hash of by, and side's rows of them repeated."""
+    heavy = F.broadcast(heavy)
+    marked = lambda df, salt: df.join(heavy, df[key].eqNullSafe(F.col("_heavy")), "left").withColumn("_salt", salt).drop("_heavy")
+    left = marked(rows, F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(by), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))
+    every = F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(side, every).withColumn("_salt", F.explode("_salt"))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def let(value: Column, then) -> Column:
     """then(value), with value computed once, also where lambdas read it."""
     return F.element_at(F.transform(F.array(value), then), 1)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import chunks, ship, stored
+from scriptorium.llm.common import chunks, heavy_keys, salted_join, ship, stored
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Rows of an anchor from which it is cut into blocks of that size.
@@ -212,29 +212,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs."""
     prints = stored(fingerprints(docs), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes))
     own = roots.select(F.col("v").alias("fp"), F.col("u").alias("root")).union(roots.select(F.col("u").alias("fp"), F.col("u").alias("root")).distinct())
-    linked = own.join(nodes, "fp")
+    linked = own.join(nodes.drop("n"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
-    every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each group of rows of similar texts (minhash.py) the smallest row by doc_id (null last) and hash of the text, once. Columns of docs."""
-    from scriptorium.llm import minhash
-
-    groups = stored(minhash.near_rows(docs), "groups")
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    of = lambda rows: rows.select(F.col("doc_id").alias("_of"), F.col("key").alias("_of_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (minhash.text_key() == F.col("_of_key"))
-    gone = groups.join(first, "root").where(~is_first).select("doc_id", "key").distinct()
-    left = docs.join(of(gone), same, "left_anti")
-    again = stored(of(groups.groupBy("doc_id", "key").count().where("count > 1")), "repeated")
-    if again.isEmpty():
-        return left
-    repeated = left.join(again, same, "left_semi").withColumn("_key", minhash.text_key()).dropDuplicates(["doc_id", "_key"]).select(docs.columns)
-    return left.join(again, same, "left_anti").union(repeated)
+    every = nodes.drop("n").join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return salted_join(prints, every, "fp", heavy_keys(nodes, "fp", "n", prints.count()), F.col("doc_id")).select("doc_id", "fp", "component_id")
+
+

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from scriptorium.llm import simhash
+from scriptorium.llm import simhash, widehash
 
 
 def fingerprint(text):
@@ -80,7 +80,7 @@ def test_documents_nulls_and_copies(spark):
     got = simhash.near_groups(df).collect()
     ids = {r["doc_id"]: r["component_id"] for r in got}
     assert len(got) == len(rows) and ids[5] == ids[3] == 3 and ids[9] in (3, 9) and ids[2] == ids[4] == 2 and ids[1] == 1 and ids[None] is None
-    kept = simhash.keep_first(df)
+    kept = widehash.keep_first(df)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({c for c in ids.values()}, key=str)
     assert simhash.near_groups(df.limit(0)).count() == 0

@@ -2,7 +2,9 @@
 
 import random
 
-from scriptorium.llm import minhash, simhash
+import numpy as np
+
+from scriptorium.llm import widehash
 
 
 def shingles(text):
@@ -40,19 +42,41 @@ def test_keep_first_keeps_one_of_each_group(spark):
     texts = near_texts()
     want = {k for k, root in enumerate(groups(texts)) if root == k}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == want and len(want) < len(texts) - 30
-    assert simhash.keep_first(df.limit(0)).count() == 0
+    assert {r["doc_id"] for r in widehash.keep_first(df).collect()} == want and len(want) < len(texts) - 30
+    assert widehash.keep_first(df.limit(0)).count() == 0
+
+
+def test_candidates_of_a_cell_are_all_told(spark):
+    sets = [widehash.shingles(t, widehash.Hashes()) for t in near_texts()]
+    prints = np.stack([widehash.fingerprint(s) for s in sets])
+    size = np.array([len(s) for s in sets])
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if widehash.similar(sets[i], sets[j])}
+    got = {(int(a), int(b)) for i, j, _ in widehash.candidates(prints, size) for a, b in zip(i, j, strict=True)}
+    assert want <= got and len(want) > 100
+
+
+def test_forest_is_a_minimum_spanning_forest():
+    rng = np.random.default_rng(3)
+    i, j = rng.integers(0, 40, 90), rng.integers(40, 80, 90)
+    order = rng.permutation(90)
+    got, root, want = set(widehash.forest(80, i, j, order).tolist()), list(range(80)), set()
 
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-def test_all_members_of_different_components_meet(spark):
-    rows = [(c, r, n) for c in range(3) for r, n in ((1, 1), (1, 2), (2, 3), (4, 4), (4, 5))]
-    got = {tuple(r) for r in minhash.crossing(spark.createDataFrame(rows, "cell bigint, root bigint, node bigint")).collect()}
-    assert got == {(1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5)}
+    for k in np.argsort(order).tolist():
+        a, b = find(int(i[k])), find(int(j[k]))
+        if a != b:
+            root[a] = b
+            want.add(k)
+    assert got == want
 
 
 def test_rows_that_share_an_id_or_have_none_are_judged_by_text(spark):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(90)) for x in "abcd")
     rows = [(1, a), (2, a + " end"), (2, b), (2, c), (3, c), (3, c), (None, d), (None, d + " end"), (None, a), (4, d), (5, "x y z"), (5, "x y z"), (None, "q"), (None, "q")]
     want = [(1, a), (2, b), (2, c), (4, d), (5, "x y z"), (None, "q")]
-    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    got = widehash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
     assert got.columns == ["doc_id", "text"] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
