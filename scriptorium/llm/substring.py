@@ -1,24 +1,28 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-Suffixes are cut at WINDOW words: a window that starts at two places is a node of depth WINDOW with two
-leaves, and all its leaves but the first go. Two passes keep the suffixes that are shuffled few.
-
-1. Every document reports its anchors: of the GRAM-word hashes in each window the least. Equal windows
-   have equal anchors, so windows whose anchor occurs once in the corpus are unique; only the others are
-   candidates. Words that make up over 1/FREQUENT of a group of rows are reported too.
-2. A candidate window is a suffix. Its prefix runs up to its first word that isn't frequent (at most
-   FREQUENT words are, so the set is bounded), or to the window's end; so a prefix ends in a rare word,
-   variable in length, and its group holds no more suffixes than that word has occurrences: at most
-   1/FREQUENT of the corpus. Each group goes to one partition, sorted by suffix; the leaves of each deep
-   node are then neighbours, first start first, and are read as a stream.
-
-Within a group of rows repeated anchors, equal windows and equal texts are settled on the spot, and one
-of them is sent on, so a passage that a third of all documents share is a row for each group of rows.
-A text that equals one with a smaller doc_id is resolved by its digest: if it holds a window, all its
-words go. Windows are compared by 128-bit hashes of their words.
+A window is a node of depth WINDOW: a string of so many words that starts at several places; all its leaves but
+the first go. Suffixes start at anchors only, which every window has, and two passes keep those that are shuffled few.
+
+1. Every document reports its anchors: of the GRAM-word grams in each window the one with the least hash, the leftmost
+   of equals. Equal windows have equal anchors at equal offsets, so windows whose anchor occurs once in the corpus are
+   unique; only the others are candidates. Words that make up over 1/FREQUENT of a group of rows are reported too.
+2. An anchor that repeats is a suffix of the text; with it go the words before and behind it that its windows reach
+   (12 on either side at most). Its prefix runs up to its first word that isn't frequent (at most FREQUENT words are,
+   so the set is bounded) or to the anchor's end, variable in length; a prefix's suffixes go to one partition, in order.
+   There they are cut at anchors into groups that fit memory. A group is sorted by words to the right and, from the
+   anchor leftwards, by words to the left; longest common prefixes of neighbours give the internal nodes of both trees.
+   The windows at an offset are equal where they are under one node of the right tree and one of the left tree whose
+   depths add up to WINDOW: those are the deep nodes, and their later leaves are reported.
+   An anchor with more rows than fit (over GROUP_ROWS, or one in 2^20 of all words, so at most 2^20 anchors) is
+   extended to whole windows: a prefix of WINDOW words is a node itself and is read as a stream, of any length.
+
+Within a group of rows equal suffixes with their surroundings, equal windows and equal texts are settled on the spot,
+and one of them is sent on, so a passage that a third of all documents share is a row for each group of rows.
+A text that equals one with a smaller doc_id is resolved by its digest: if it holds a window, all its words go.
+Words are compared by 64-bit hashes, whole windows of extended anchors by 128 bits.
 
 Words are runs of bytes other than ASCII white space. A null text has no words. Rows with equal doc_id are
-the same document: equal places in them don't count as earlier; their texts are told apart by a hash, tag.
+the same document: equal places in them don't count as earlier; their texts are told apart by a 64-bit hash, tag.
 A null doc_id is before all others.
 """
 
@@ -29,18 +33,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import chunks, ship, stored
+from scriptorium.llm.common import chunks, heavy_keys, salted_join, ship, stored
 
 WINDOW, GRAM = 20, 8
 #: A word is frequent if it makes up over one in so many words.
 FREQUENT = 4096
 GROUP_BYTES = 4_000_000
+#: Rows of an anchor from which it is extended to whole windows; rows of a group of subtrees; words on either side of an anchor.
+GROUP_ROWS, TREE_ROWS, SIDE = 50_000, 20_000, WINDOW - GRAM
 KEPT_WORDS = 400_000
-LOWEST, TAG = -(2**63), 2**32 - 1
+LOWEST = -(2**63)
+#: In place of an anchor's least and largest offset: the row is a whole window.
+WHOLE = 255
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,16 +76,6 @@ def rolling(words: np.ndarray, n: int, factors: np.ndarray) -> np.ndarray:
     return mixed(total)
 
 
-def window_minimum(x: np.ndarray, n: int) -> np.ndarray:
-    """The least of each n consecutive values."""
-    size, width = len(x) - n + 1, 1
-    while width * 2 <= n:
-        x = np.minimum(x[: len(x) - width], x[width:])
-        width *= 2
-    rest = n - width
-    return np.minimum(x[:size], x[rest : rest + size]) if rest else x[:size]
-
-
 class Words:
     """Hashes of words, remembered up to KEPT_WORDS."""
 
@@ -99,10 +98,18 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """The anchor of each window."""
+def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and of each window the index of its anchor."""
     grams = rolling(hashes, GRAM, FACTORS[0])
-    return window_minimum(grams, WINDOW - GRAM + 1) if len(hashes) >= WINDOW else np.zeros(0, np.uint64)
+    if len(hashes) < WINDOW:
+        return grams, np.zeros(0, np.int64)
+    at, width = np.arange(len(grams)), 1
+    better = lambda a, b: np.where(grams[a] <= grams[b], a, b)
+    while width * 2 <= SIDE + 1:
+        at = better(at[: len(at) - width], at[width:])
+        width *= 2
+    rest, size = SIDE + 1 - width, len(hashes) - WINDOW + 1
+    return grams, better(at[:size], at[rest : rest + size]) if rest else at[:size]
 
 
 def digest_of(words: list[bytes]) -> bytes:
@@ -114,8 +121,8 @@ def sha_of(words: list[bytes]) -> str:
 
 
 def _tag():
-    """32 bits of a hash that tell texts of equal doc_id apart."""
-    return F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(TAG))
+    """A hash that tells texts of equal doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _long(x) -> pa.Array:
@@ -156,9 +163,9 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             values, owner, grams = [], [], []
             for k, (d, c) in enumerate(zip(texts, copy, strict=True)):
                 if not c and len(hashed[d]) >= WINDOW:
-                    grams.append(rolling(hashed[d], GRAM, FACTORS[0]))
-                    a = window_minimum(grams[-1], WINDOW - GRAM + 1)
-                    own = a[np.concatenate(([True], a[1:] != a[:-1]))]
+                    g, at = anchors(hashed[d])
+                    grams.append(g)
+                    own = g[at[np.concatenate(([True], at[1:] != at[:-1]))]]
                     values.append(own)
                     owner.append(np.full(len(own), k))
             if values:
@@ -169,7 +176,8 @@ def _first_pass(docs: DataFrame) -> DataFrame:
                 yield table("a", _long(value[once]), many[0][own[once]], many[1][own[once]])
                 more, of = value[~once], own[~once]
                 if len(more):
-                    yield table("r", _long(np.unique(more)))
+                    gram, times = np.unique(more, return_counts=True)
+                    yield table("r", _long(gram), None, None, times)
                     cuts = np.flatnonzero(np.diff(of)) + 1
                     docs_of = of[np.concatenate(([0], cuts))]
                     lists = [np.unique(x).tobytes() for x in np.split(more, cuts)]
@@ -183,45 +191,56 @@ def _first_pass(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "tag", "text").mapInArrow(run, FIRST)
 
 
-def _repeated(first: DataFrame) -> DataFrame:
-    """(doc_id, tag, payload): lists of anchors of documents that occur elsewhere too."""
+def _repeated(first: DataFrame, most: int) -> tuple[DataFrame, list[int]]:
+    """(doc_id, tag, payload): lists of anchors of documents that occur elsewhere too; and the anchors with over most rows."""
     blocks = _blocks(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         found: list[list[np.ndarray]] = []
-
-        def settle(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, told: np.ndarray) -> None:
-            same = key[1:] == key[:-1]
-            twice = (np.concatenate((same, [False])) | np.concatenate(([False], same)))[: len(key)] & (told > 0)
-            if twice.any():
-                found.append([doc[twice], tag[twice], key[twice]])
-
-        def out() -> pa.RecordBatch:
-            doc, tag, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        large: list[int] = []
+
+        def settle(rows: list[np.ndarray]) -> int:
+            """Report rows whose key has several; how many the last key has."""
+            key, doc, tag, n, told = rows
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            total = np.add.reduceat(n, start)
+            large.extend(key[start][total > most].tolist())
+            many = np.repeat(total > 1, np.diff(np.append(start, len(key)))) & (told > 0)
+            if many.any():
+                found.append([doc[many], tag[many], key[many]])
+            return int(total[-1])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if found:
+                yield _blobs(*(np.concatenate(x) for x in zip(*found, strict=True)), blocks)
+            if large:
+                keys = sorted(set(large))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([None] * len(keys), pa.binary())], names=["block", "payload"])
             found.clear()
-            return _blobs(doc, tag, key, blocks)
+            large.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(held, ("key", "doc_id", "tag", "told"), strict=True)]
+            now = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(held, ("key", "doc_id", "tag", "n", "told"), strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1]))
-            settle(*(x[:cut] for x in now))
-            if len(now[0]) - cut > 4096:  # a long run of one key: two of it are enough to know what follows as repeated
-                settle(*(x[cut:] for x in now))
-                cut = len(now[0]) - 2
+            if cut:
+                settle([x[:cut] for x in now])
             held = [x[cut:] for x in now]
+            if len(held[0]) > 4096:  # a long run of one key: what was seen of it becomes one row that isn't told
+                held = [np.array([x], np.int64) for x in (held[0][-1], 0, 0, settle(held), 0)]
             if sum(len(f[0]) for f in found) > 2_000_000:
-                yield out()
-        settle(*held)
-        if found:
-            yield out()
+                yield from out()
+        if len(held[0]):
+            settle(held)
+        yield from out()
 
-    # A row r stands for two occurrences whose documents know of it.
-    double = F.when(F.col("kind") == "r", F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))).otherwise(F.array(F.lit(1).cast("long")))
-    rows = first.where("kind in ('a', 'r')").select("key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("doc_id", "tag")), F.explode(double).alias("told"))
-    return _gathered(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "block bigint, payload binary"), np.int64)
+    # A row r stands for several occurrences whose documents know of it.
+    rows = first.where("kind in ('a', 'r')").select("key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("doc_id", "tag")), F.coalesce("n", F.lit(1)).alias("n"), (F.col("kind") == "a").cast("long").alias("told"))
+    told = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "block bigint, payload binary"), "repeated")
+    large = [r["block"] for r in told.where("payload is null").select("block").distinct().collect()]  # 2^20 at most
+    return _gathered(told.where("payload is not null"), np.int64), large
 
 
 def _blobs(doc: np.ndarray, tag: np.ndarray, value: np.ndarray, blocks: int) -> pa.RecordBatch:
@@ -278,94 +297,178 @@ def _blocks(df: DataFrame) -> int:
     return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _places_key(words: np.ndarray, windows: int, frequent: np.ndarray) -> np.ndarray:
-    """The prefix group of each window: a hash of its words up to the first that isn't frequent."""
+def _prefix_key(words: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The prefix group of the suffixes that start at at: a hash of their words up to the first that isn't frequent, GRAM at most."""
     rare = frequent[np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)] != words if len(frequent) else np.ones(len(words), bool)
-    at = np.where(rare, np.arange(len(words)), len(words) + WINDOW)
-    stop = np.minimum(np.minimum.accumulate(at[::-1])[::-1][:windows] - np.arange(windows), WINDOW - 1)  # index of the prefix's last word
-    key = np.zeros(windows, np.uint64)
-    for length in range(WINDOW):
-        live = np.flatnonzero(stop >= length)
+    key, live = np.zeros(len(at), np.uint64), np.arange(len(at))
+    for k in range(GRAM):
+        word = at[live] + k
+        key[live] = mixed(key[live] + words[word] * FACTORS[1][k])
+        live = live[~rare[word]]
         if not len(live):
             break
-        key[live] = mixed(key[live] + words[live + length] * FACTORS[1][length])
     return key
 
 
-#: place: start and tag of a suffix in one number, in order of the start.
-SECOND = "prefix bigint, high bigint, low bigint, doc_id bigint, place bigint, payload binary"
+#: place: of a suffix 65536 * the anchor's place + 256 * the least + the largest offset of its windows from it; of a whole window the start and WHOLE twice.
+#: gram: the anchor, or half the window's hash (its other half is the prefix). payload: the words' hashes before and behind the anchor.
+SECOND = "prefix bigint, gram bigint, doc_id bigint, tag bigint, place bigint, payload binary"
 
 
-def _suffixes(docs: DataFrame, frequent: list[int]) -> DataFrame:
+def _suffixes(docs: DataFrame, frequent: list[int], large: list[int]) -> DataFrame:
     """From rows (doc_id, tag, text, payload: anchors that repeat): suffixes, the first of its sort in its group of rows; and without place, starts of windows that are known to go (doc_id: block)."""
     ship(docs.sparkSession)
     blocks = _blocks(docs)
-    often = np.sort(np.array(frequent, np.int64).view(np.uint64))
+    often, extended = (np.sort(np.array(x, np.int64).view(np.uint64)) for x in (frequent, large))
     names = [c.split()[0] for c in SECOND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for rows in chunks(batches, GROUP_BYTES):
-            parts = []
-            for r in rows:
-                h = known.of(split(r["text"]))
-                a = anchors(h)
-                if not len(a):
+            seen: dict[tuple, tuple[int, int]] = {}
+            out: list[list] = [[], [], [], [], [], []]
+            gone: list[list] = [[], [], []]
+            for r in sorted(rows, key=lambda r: r["doc_id"]):  # the first of equals is met first
+                h, doc, tag = known.of(split(r["text"])), r["doc_id"], r["tag"]
+                grams, at = anchors(h)
+                if not len(at):
                     continue
-                at = np.flatnonzero(np.isin(a, np.frombuffer(r["payload"], np.uint64)))
-                if len(at):
-                    high, low, key = (f[at] for f in (rolling(h, WINDOW, FACTORS[0]), rolling(h, WINDOW, FACTORS[1]), _places_key(h, len(a), often)))
-                    parts.append((key, high, low, np.full(len(at), r["doc_id"]), at.astype(np.int64) << 32 | r["tag"]))
-            if not parts:
-                continue
-            key, high, low, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((place, doc, low, high))
-            new = np.concatenate(([True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])))
-            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            later = (doc[order] != doc[lead]) | (place[order] >> 32 != place[lead] >> 32)
-            gone, told = order[later], order[~later]
-            empty = lambda n, t: pa.array([None] * n, t)
-            yield pa.RecordBatch.from_arrays([_long(key[told]), _long(high[told]), _long(low[told]), pa.array(doc[told]), pa.array(place[told]), empty(len(told), pa.binary())], names=names)
-            if len(gone):
-                sure = _blobs(doc[gone], place[gone] & TAG, (place[gone] >> 32).astype(np.int32), blocks)
-                n = sure.num_rows
+                starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                ends, at = np.append(starts[1:], len(at)), at[starts]
+                own = np.flatnonzero(np.isin(grams[at], np.frombuffer(r["payload"], np.uint64)))
+                if not len(own):
+                    continue
+                starts, ends, at = starts[own], ends[own], at[own]
+                key, gram, data = _prefix_key(h, at, often).view(np.int64), grams[at].view(np.int64), h.tobytes()
+                wide = np.isin(grams[at], extended)
+                for p, a, b, prefix, g, w in zip(at.tolist(), starts.tolist(), ends.tolist(), key.tolist(), gram.tolist(), wide.tolist(), strict=True):
+                    if w:
+                        part = h[a : b - 1 + WINDOW]
+                        units = [(x, y, None, k, WHOLE * 257, k, k + 1) for x, y, k in zip(*(rolling(part, WINDOW, f).view(np.int64).tolist() for f in FACTORS[::-1]), range(a, b), strict=True)]
+                    else:
+                        units = [(prefix, g, data[8 * a : 8 * p] + data[8 * (p + GRAM) : 8 * (b - 1 + WINDOW)], p, (p - b + 1) * 256 + p - a, a, b)]
+                    for x, y, words, k, offsets, first, end in units:
+                        before = seen.setdefault((x, y, offsets, words), (doc, k))
+                        if before == (doc, k):
+                            for column, v in zip(out, (x, y, doc, tag, k << 16 | offsets, words), strict=True):
+                                column.append(v)
+                        else:
+                            for column, v in zip(gone, (doc, tag, range(first, end)), strict=True):
+                                column.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "payload" else pa.int64()) for x, n in zip(out, names, strict=True)], names=names)
+            if gone[0]:
+                often_of = np.array([len(x) for x in gone[2]])
+                value = np.concatenate([np.arange(x.start, x.stop, dtype=np.int32) for x in gone[2]])
+                sure = _blobs(np.repeat(np.array(gone[0], np.int64), often_of), np.repeat(np.array(gone[1], np.int64), often_of), value, blocks)
+                n, none = sure.num_rows, lambda m: pa.array([None] * m, pa.int64())
                 spread = _long(mixed(sure.column("block").to_numpy().view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([spread, *(empty(n, pa.int64()) for _ in range(2)), sure.column("block"), empty(n, pa.int64()), sure.column("payload")], names=names)
+                yield pa.RecordBatch.from_arrays([spread, none(n), sure.column("block"), none(n), none(n), sure.column("payload")], names=names)
 
     return docs.select("doc_id", "tag", "text", "payload").mapInArrow(run, SECOND)
 
 
+def _common(gram: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of gram and words, and how many words each row has in common with the one before it (-1: another gram)."""
+    order = np.lexsort((*words.T[::-1], gram))
+    same = np.cumprod(words[order][1:] == words[order][:-1], axis=1, dtype=np.int8).sum(axis=1)
+    return order, np.concatenate(([-1], np.where(gram[order][1:] == gram[order][:-1], same, -1)))
+
+
+def _later(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of each window of the suffixes that starts earlier elsewhere. left, right: words from the anchor leftwards and behind it."""
+    size = len(rows["gram"])
+    right_order, right_common = _common(rows["gram"], right)
+    left_order, left_common = _common(rows["gram"], left)
+    out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    right_node, left_node = np.empty(size, np.int64), np.empty(size, np.int64)
+    for offset in range(SIDE + 1):
+        own = np.flatnonzero((rows["least"] <= offset) & (offset <= rows["most"]))
+        if len(own) < 2:
+            continue
+        right_node[right_order] = np.cumsum(right_common < SIDE - offset)
+        left_node[left_order] = np.cumsum(left_common < offset)
+        node, doc, start = right_node[own] * (size + 1) + left_node[own], rows["doc_id"][own], rows["at"][own] - offset
+        order = np.lexsort((start, doc, node))
+        new = np.concatenate(([True], node[order][1:] != node[order][:-1]))
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+        later = order[(doc[order] != doc[lead]) | (start[order] != start[lead])]
+        out[0].append(own[later])
+        out[1].append(start[later])
+    return np.concatenate(out[0]), np.concatenate(out[1])
+
+
+def _sides(payload: pa.Array, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words before (from the anchor leftwards) and behind the anchor, SIDE columns each; what a payload doesn't hold is 0."""
+    data = np.frombuffer(b"".join(payload.to_pylist()), np.uint64)
+    before, behind = most, SIDE - least
+    first = np.cumsum(before + behind) - before - behind
+    column = np.arange(SIDE)[None, :]
+    none = np.append(data, np.uint64(0))
+    left = none[np.where(column < before[:, None], (first + before)[:, None] - 1 - column, len(data))]
+    return left, none[np.where(column < behind[:, None], (first + before)[:, None] + column, len(data))]
+
+
 def _later_leaves(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, tag, payload): starts of windows that start earlier elsewhere, from each prefix's subtree in order of suffix and place."""
+    """(doc_id, tag, payload): starts of windows that start earlier elsewhere, from the subtrees of each prefix."""
     blocks = _blocks(suffixes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, found = None, []
+        last, held, size = None, [], 0
+        found: list[list[np.ndarray]] = []
+
+        def grown(x: pa.RecordBatch) -> None:
+            rows = {c: x.column(c).to_numpy() for c in ("gram", "doc_id", "tag", "place")}
+            rows |= {"at": rows["place"] >> 16, "least": rows["place"] >> 8 & 255, "most": rows["place"] & 255}
+            row, start = _later(rows, *_sides(x.column("payload"), rows["least"], rows["most"]))
+            if len(row):
+                found.append([rows["doc_id"][row], rows["tag"][row], start.astype(np.int32)])
+
+        def streamed(x: pa.RecordBatch) -> None:
+            nonlocal last
+            prefix, gram, doc, tag, place = (x.column(c).to_numpy() for c in ("prefix", "gram", "doc_id", "tag", "place"))
+            new = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (gram[1:] != gram[:-1])))
+            if last is not None and last[:2] == (prefix[0], gram[0]):
+                new[0] = False
+            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            lead_doc = np.where(start >= 0, doc[start], last[2] if last else 0)
+            lead_at = np.where(start >= 0, place[start] >> 16, last[3] if last else 0)
+            later = (doc != lead_doc) | (place >> 16 != lead_at)
+            if later.any():
+                found.append([doc[later], tag[later], (place[later] >> 16).astype(np.int32)])
+            last = (prefix[-1], gram[-1], lead_doc[-1], lead_at[-1])
+
+        def out() -> pa.RecordBatch:
+            told = _blobs(*(np.concatenate(x) for x in zip(*found, strict=True)), blocks)
+            found.clear()
+            return told
+
         for batch in batches:
-            leaf = batch.filter(batch.column("place").is_valid())
-            if leaf.num_rows < batch.num_rows:
-                known = batch.filter(batch.column("place").is_null())
+            place = batch.column("place")
+            known = batch.filter(place.is_null())
+            if known.num_rows:
                 yield pa.RecordBatch.from_arrays([known.column("doc_id"), known.column("payload")], names=["block", "payload"])
-            if leaf.num_rows:
-                prefix, high, low, doc, place = (leaf.column(c).to_numpy() for c in ("prefix", "high", "low", "doc_id", "place"))
-                at = place >> 32
-                new = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
-                if last is not None and last[:3] == (prefix[0], high[0], low[0]):
-                    new[0] = False
-                start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-                lead_doc = np.where(start >= 0, doc[start], last[3] if last else 0)
-                lead_at = np.where(start >= 0, at[start], last[4] if last else 0)
-                later = (doc != lead_doc) | (at != lead_at)
-                if later.any():
-                    found.append([doc[later], place[later] & TAG, at[later].astype(np.int32)])
-                last = (prefix[-1], high[-1], low[-1], lead_doc[-1], lead_at[-1])
+            whole = pa.compute.equal(pa.compute.bit_wise_and(place, WHOLE * 257), WHOLE * 257)
+            windows, leaves = batch.filter(whole), batch.filter(pa.compute.invert(whole))
+            if windows.num_rows:
+                streamed(windows)
+            if leaves.num_rows:
+                held.append(leaves)
+                size += leaves.num_rows
+                if size >= TREE_ROWS and held[0].column("gram")[0] != leaves.column("gram")[-1]:
+                    x = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    gram = x.column("gram").to_numpy()
+                    cut = int(np.flatnonzero(gram != gram[-1])[-1]) + 1
+                    grown(x.slice(0, cut))
+                    held, size = [x.slice(cut)], len(gram) - cut
             if sum(len(f[0]) for f in found) > 1_000_000:
-                yield _blobs(*(np.concatenate(x) for x in zip(*found, strict=True)), blocks)
-                found = []
+                yield out()
+        if size:
+            grown(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
         if found:
-            yield _blobs(*(np.concatenate(x) for x in zip(*found, strict=True)), blocks)
+            yield out()
 
-    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix", "high", "low", "doc_id", "place")
+    ordered = suffixes.repartition("prefix").sortWithinPartitions("prefix", "gram", "doc_id", "place")
     return _gathered(ordered.mapInArrow(run, "block bigint, payload binary"), np.int32)
 
 
@@ -403,18 +506,21 @@ def plan(docs: DataFrame, out_text: bool = False) -> tuple[DataFrame, DataFrame]
     docs = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), _tag().alias("tag"), "text")
     first = stored(_first_pass(docs), "anchors")
     rows = first.where("kind = 'd'").select("doc_id", "tag", F.col("payload").alias("digest"), F.col("n").alias("n_words"), "sha", "copy")
-    least = rows.where("not copy").groupBy("digest").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    least = rows.groupBy("digest").agg(F.min(F.when(~F.col("copy"), F.col("doc_id"))).alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    least, number = stored(least, "least"), rows.count()
     later = F.col("copy") | F.coalesce(F.col("doc_id") > F.col("_least"), F.lit(False))
-    every = stored(rows.join(least, "digest", "left").select("doc_id", "tag", "n_words", "sha", later.alias("copy")), "texts")
+    marked = salted_join(rows, least.drop("_n"), "digest", heavy_keys(least, "digest", "_n", number), F.col("doc_id"), "left")
+    every = stored(marked.select("doc_id", "tag", "n_words", "sha", later.alias("copy")), "texts")
     total = every.agg(F.sum("n_words")).first()[0] or 0
     words = first.where("kind = 'w'").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * FREQUENT > total)
     frequent = [r["key"] for r in words.collect()]  # FREQUENT at most
-    anchored = _repeated(first).union(first.where("kind = 'p'").select("doc_id", "tag", "payload"))
+    repeated, large = _repeated(first, max(GROUP_ROWS, total >> 20))
+    anchored = repeated.union(first.where("kind = 'p'").select("doc_id", "tag", "payload"))
     joined = F.unhex(F.array_join(F.transform(F.collect_list("payload"), lambda p: F.hex(p)), ""))
     lists = anchored.groupBy("doc_id", "tag").agg(joined.alias("payload"))
     originals = every.where(f"not copy and n_words >= {WINDOW}").select("doc_id", "tag").distinct()
     chosen = lists.join(originals, ["doc_id", "tag"])
-    gone = _later_leaves(_suffixes(docs.join(chosen, ["doc_id", "tag"]), frequent))
+    gone = _later_leaves(_suffixes(docs.join(chosen, ["doc_id", "tag"]), frequent, large))
     return every, _cut(docs.join(gone, ["doc_id", "tag"]), out_text)
 
 

@@ -41,8 +41,9 @@ def texts(seed):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, size in ((1, 4_000_000), (2, 3000)):
-        monkeypatch.setattr(substring, "GROUP_BYTES", size)
+    for seed, size, most, tree in ((1, 4_000_000, 50_000, 20_000), (2, 3000, 50_000, 5), (3, 3000, 4, 20_000)):
+        for name, value in (("GROUP_BYTES", size), ("GROUP_ROWS", most), ("TREE_ROWS", tree)):
+            monkeypatch.setattr(substring, name, value)
         rows = texts(seed)
         df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS tag", "'x' AS payload").repartition(3)
         got = sorted((tuple(r) for r in substring.dedup(df).collect()), key=str)
