@@ -45,7 +45,7 @@ WINDOW, GRAM = 20, 8
 FREQUENT = 4096
 GROUP_BYTES = 4_000_000
 #: Rows of an anchor from which it is extended to whole windows; rows of a group of subtrees; words on either side of an anchor.
-GROUP_ROWS, TREE_ROWS, SIDE = 50_000, 20_000, WINDOW - GRAM
+GROUP_ROWS, TREE_ROWS, SIDE = 2_000, 20_000, WINDOW - GRAM
 KEPT_WORDS = 400_000
 LOWEST = -(2**63)
 #: In place of an anchor's least and largest offset: the row is a whole window.
