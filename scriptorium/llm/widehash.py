@@ -8,9 +8,10 @@ share no anchor with probability 4e-5 (1e-3 for sets of four and five shingles).
 
 Within an anchor two sets are candidates if their bits differ in at most NEAR places (NEAR_SMALL for small sets).
 A cell tells a minimum spanning forest of its candidates, never all pairs; each told link is checked on the whole
-shingle sets. Then members of one cell that are candidates but still in different components are checked too, so
-every candidate is linked, checked, or in one component already. The second pass grows with the square of a
-cell's members only where many texts lie just below 0.8 of each other.
+shingle sets. Where a check fails, the components at both ends may still hold similar sets that the forest passed over
+(a path of the forest between two such sets leaves its component by a failed link). Members of these components meet
+once more at their rarest shingles: of size - ceil(0.8 size) + 1 of them, in order of frequency, two similar sets share
+one. Those that are candidates and in different components are checked as well, so every candidate of 0.8 is linked.
 
 Texts with equal shingle sets are one node. Words are runs of bytes other than ASCII white space, lower-cased A-Z.
 A text of under five words is one shingle; texts without words, null ones too, are equal to each other. Rows are
@@ -217,8 +218,8 @@ def spanning(node: np.ndarray, prints: np.ndarray, size: np.ndarray) -> tuple[np
     return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
 
-def compared(nodes: DataFrame, crossing: bool = False) -> DataFrame:
-    """(u, v): links told by the cells of nodes (node, size, f0 to f3; crossing: and root): a spanning forest of each, or all candidates that have different roots."""
+def compared(rows: DataFrame, crossing: bool = False) -> DataFrame:
+    """(u, v): links told by cells, from rows (cell, node, size, f0 to f3; crossing: and root): a spanning forest of each, or all candidates that have different roots."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         held: list[pa.RecordBatch] = []
@@ -268,8 +269,25 @@ def compared(nodes: DataFrame, crossing: bool = False) -> DataFrame:
             if u:
                 yield told(u, v)
 
-    rows = placed(nodes).repartition("cell").sortWithinPartitions("cell")
-    return rows.mapInArrow(run, "u bigint, v bigint").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def by_rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cell, and the columns of members): members at those of their rarest shingles that two similar sets must share; a shingle that no other member has is no cell."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                own = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node, np.int64)), pa.array(own)], names=["node", "cell"])
+
+    every = sets.join(members.select("node"), "node", "left_semi").mapInArrow(single, "node bigint, cell bigint")
+    shared = every.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed = every.join(shared, "cell").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("x"))  # a text's shingles
+    more, least = SIMILAR[1], SIMILAR[0]
+    length = F.col("size") - F.ceil(F.col("size") * least / more) + 1 - (F.col("size") - F.size("x"))  # shingles without company come first
+    chosen = members.join(listed, "node").where(length > 0)
+    return chosen.select(F.explode(F.slice("x", F.lit(1), length.cast("int"))).alias("x"), *members.columns).select("x.cell", *members.columns)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -308,15 +326,17 @@ def named_roots(links: DataFrame) -> DataFrame:
 
 def roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of each node that is linked to another."""
-    prints = nodes.select("node", "size", *LANE)
-    told = stored(compared(prints), "told")
+    told = stored(compared(placed(nodes.select("node", "size", *LANE))), "told")
     members = told.select(F.col("u").alias("node")).union(told.select(F.col("v").alias("node"))).distinct()
     met = stored(nodes.join(members, "node"), "met")
     sets = stored(sets_of(docs, met.select("node", "key")), "sets")
     links = stored(checked(told, sets), "near")
     named = named_roots(links)
-    rest = met.join(named, "node", "left").select("node", "size", *LANE, F.coalesce("root", "node").alias("root"))
-    more = stored(checked(compared(rest, crossing=True), sets), "near")
+    rest = stored(met.join(named, "node", "left").select("node", "size", *LANE, F.coalesce("root", "node").alias("root")), "rooted")
+    end = lambda c: rest.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+    failed = told.join(end("u"), "u").join(end("v"), "v").where("root_u <> root_v")
+    apart = failed.select(F.explode(F.array("root_u", "root_v")).alias("root")).distinct()
+    more = stored(checked(compared(by_rarest(rest.join(apart, "root", "left_semi"), sets), crossing=True), sets), "near")
     return named if more.isEmpty() else named_roots(links.union(more))
 
 
