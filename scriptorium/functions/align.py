@@ -12,7 +12,19 @@ PAIRS = ArrayType(StructType().add("a", StringType()).add("b", StringType()))
 
 
 def path(a: list[str], b: list[str]) -> list[tuple[str | None, str | None]]:
-    """Least-cost pairs of a and b; None is a gap. Rows of costs are numpy arrays: along a row insertions chain, so a running minimum settles them."""
+    """Least-cost pairs of a and b; None is a gap. Rows of costs are numpy arrays: along a row insertions chain, so a running minimum settles them.
+
+    Equal ends pair up first, as the order of preference has it; what is left and equally long with at most two differences can't be cheaper by gaps.
+    """
+    tail = 0
+    while tail < len(a) and tail < len(b) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    if tail:
+        return path(a[: len(a) - tail], b[: len(b) - tail]) + list(zip(a[len(a) - tail :], b[len(b) - tail :], strict=True))
+    if not a or not b:
+        return [(x, None) for x in a] + [(None, y) for y in b]
+    if len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 2:
+        return list(zip(a, b, strict=True))
     codes: dict[str, int] = {}
     x, y = (np.array([codes.setdefault(v, len(codes)) for v in s], np.int64) for s in (a, b))
     column = np.arange(len(y) + 1)

@@ -56,7 +56,7 @@ def label_form(s: Column) -> Column:
 
 def clitic_spaces(s: Column, language: Language) -> Column:
     """No blanks behind an article's hyphen."""
-    names = "|".join(sorted(language.articles, key=len, reverse=True))
+    names = "|".join(sorted(language.clitics, key=len, reverse=True)) or "(?!)"
     return F.regexp_replace(s, rf"(?iu)(?<![\p{{L}}\p{{N}}_'’])({names})-[ \t]+", "$1-")
 
 
@@ -83,8 +83,35 @@ def convention_fold(s: Column) -> Column:
     return F.translate(s, "‘’“”–—", "''\"\"--")
 
 
+def composed(s: Column) -> Column:
+    """NFC; ASCII texts don't go to Python, nor do texts without combining marks, jamo or letters that compose further."""
+    return F.when(s.rlike(r"[\p{M}\x{1100}-\x{11FF}\x{2126}\x{212A}\x{212B}\x{F900}-\x{FAFF}]"), nfc(s)).otherwise(s)
+
+
 def lookup_key(s: Column) -> Column:
-    return F.btrim(s, F.lit(PUNCTUATION))
+    """Composed, without outer punctuation. Words are joined by this key, so it is built once for each distinct word."""
+    return F.btrim(composed(s), F.lit(PUNCTUATION))
+
+
+def closing_apostrophe(s: Column) -> Column:
+    """Every straight apostrophe as a closing one: the rule without places."""
+    return F.translate(s, "'", "’")
+
+
+def pdf_text(s: Column) -> Column:
+    """Without geometric marks, white space collapsed."""
+    return collapsed(F.regexp_replace(s, "[■-◿]", ""))
+
+
+def boilerplate(s: Column, prefix: str, markers: tuple[str, ...], least: int = 15) -> Column:
+    """The text of a block without its markers; null for disclaimers and for blocks of which fewer than least characters remain."""
+    bare = s
+    for m in markers:
+        bare = F.replace(bare, F.lit(m), F.lit(""))
+    marked = F.lit(False)
+    for m in markers:
+        marked = marked | F.contains(s, F.lit(m))
+    return F.when(F.startswith(s, F.lit(prefix)), None).when(marked & (F.length(pdf_text(bare)) < least), None).when(marked, F.trim(bare)).otherwise(s)
 
 
 def letters(s: Column) -> Column:
@@ -95,7 +122,13 @@ def accented_letters(s: Column) -> Column:
     return F.length(F.regexp_replace(s, r"[^\p{L}]|[\x00-\x7F]", ""))
 
 
+def without_marks(s: Column, language: Language = GENERIC) -> Column:
+    """Decomposed, without non-spacing marks, then folded: for letters beyond the language's own."""
+    return F.translate(F.regexp_replace(nfd(s), r"\p{Mn}", ""), language.fold, language.to)
+
+
 def folded(s: Column, language: Language = GENERIC) -> Column:
+    """The language's letters as their plain forms."""
     return F.translate(s, language.fold, language.to)
 
 

@@ -27,6 +27,32 @@ def base_text(streams: Column, ratio: float = 0.6) -> Column:
     return F.when((-longest.n > 10) & (F.coalesce(F.length(first), F.lit(0)) < ratio * -longest.n), longest.hyp).otherwise(F.coalesce(first, F.lit("")))
 
 
+def candidates(base: Column, streams: Column) -> Column:
+    """Streams that aren't empty or equal to the base, each once, in order."""
+    return F.array_distinct(F.filter(streams, lambda x: F.coalesce((x != "") & (x != base), F.lit(False))))
+
+
+def fallback(anchor: Column, other: Column, ratio: float = 0.6) -> Column:
+    """The anchor, unless it is empty or has under ratio of the other stream's letters."""
+    a, b = F.coalesce(anchor, F.lit("")), F.coalesce(other, F.lit(""))
+    return F.when((a == "") | ((F.length(b) > 10) & (F.length(a) < ratio * F.length(b))), b).otherwise(a)
+
+
+def guarded(anchor: Column, candidate: Column, anchor_known: Column, candidate_known: Column, language: Language = GENERIC) -> Column:
+    """Whether the guards alone let the candidate stand for the anchor; accents aren't restored."""
+    return decide(anchor, candidate, anchor_known, candidate_known, language, restore=False) != anchor
+
+
+def routed(words: DataFrame, lexicon: DataFrame, key: str, anchor: str, streams: list[str], language: Language = GENERIC) -> DataFrame:
+    """(key, word): streams taken one after the other, each against what the ones before it left."""
+    now = words.select(key, F.col(anchor).alias("anchor"), *streams)
+    for s in streams:
+        swaps = decisions(now.select("anchor", F.col(s).alias("candidate")), lexicon, language).where("swap <> anchor")
+        named = swaps.withColumnRenamed("candidate", s)
+        now = now.join(named, ["anchor", s], "left").withColumn("anchor", F.coalesce("swap", "anchor")).drop("swap")
+    return now.select(key, F.col("anchor").alias("word"))
+
+
 def decide(anchor: Column, candidate: Column, anchor_known: Column, candidate_known: Column, language: Language = GENERIC, restore: bool = True) -> Column:
     """The word to stand for anchor: the candidate if it restores accents, or if it alone is known and passes the guards."""
     a, c = T.lookup_key(anchor), T.lookup_key(candidate)

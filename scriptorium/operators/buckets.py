@@ -62,3 +62,25 @@ def hyphen_kind(line: Column, clitics: tuple[str, ...]) -> Column:
     """NONE without a closing hyphen, STRUCTURAL behind a clitic, else COMPOUND."""
     tail = F.lower(F.element_at(F.split(F.rtrim(line), r"\s+"), -1))
     return F.when(~F.rtrim(line).endswith("-"), "NONE").when(tail.isin(*(c + "-" for c in clitics)), "STRUCTURAL").otherwise("COMPOUND")
+
+
+def simple_length(s: Column) -> Column:
+    return F.when(F.length(s) < 80, "short").when(F.length(s) < 200, "mid").otherwise("long")
+
+
+def simple_language(s: Column, language: Language = GENERIC) -> Column:
+    return F.when(T.canaries(s, language) > 0, "own").when(s.rlike("[A-Za-z]"), "english").otherwise("other-lang")
+
+
+def simple_prefix(s: Column, language: Language) -> Column:
+    names = "|".join(language.articles) or "(?!)"
+    return F.when(s.rlike(rf"(?iu)\b(?:{names})-"), "il-prefix").otherwise("no-prefix")
+
+
+def simple_line_hyphen(lines: Column) -> Column:
+    broken = F.exists(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.endswith(F.rtrim(x), F.lit("-")))
+    return F.when(broken, "line-hyphen").otherwise("no-line-hyphen")
+
+
+def simple_hyphen(s: Column) -> Column:
+    return F.when(F.contains(s, F.lit("-")), "hyphen").otherwise("plain")

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
+from scriptorium.profiles import Language
+
+#: How far our rate may be from the organiser's.
+TOLERANCE = 1e-3
 
 def edits(ref: Column, hyp: Column) -> Column:
     """Edit distance of code points; pairs with an empty reference count nothing."""
@@ -98,3 +103,47 @@ def oov(words: DataFrame, known: DataFrame, word: str = "w") -> DataFrame:
     return seen.agg(
         F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens"), F.sum(F.when(out, 1).otherwise(0)).alias("oov_types"), F.sum(F.when(out, F.col("n")).otherwise(0)).alias("oov_tokens")
     )
+
+
+def pair_cer(ref: Column, hyp: Column) -> Column:
+    """A pair's own rate; 0 without reference characters."""
+    return F.when(F.length(ref) > 0, F.levenshtein(ref, hyp) / F.length(ref)).otherwise(F.lit(0.0))
+
+
+def normalised_pairs(rows: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """rows with both texts normalised; rows whose reference is empty then are dropped."""
+    return rows.withColumns({ref: T.normalised(F.col(ref)), hyp: T.normalised(F.col(hyp), True)}).where(F.length(ref) > 0)
+
+
+def normalised_cer(rows: DataFrame, ref: str, hyp: str, *by: str) -> DataFrame:
+    kept = normalised_pairs(rows, ref, hyp)
+    return cer(kept.select(*by, edits(F.col(ref), F.col(hyp)).alias("ed"), F.length(ref).cast("long").alias("len")), *by)
+
+
+def dual_cer(rows: DataFrame, ref: str, hyp: str, language: Language, *by: str) -> DataFrame:
+    """(by, raw_cer, normalised_cer, delta): without and with blanks behind articles removed on both sides, in one pass."""
+    kept = normalised_pairs(rows, ref, hyp)
+    a, b = (T.clitic_spaces(F.col(c), language) for c in (ref, hyp))
+    counted = kept.select(*by, edits(F.col(ref), F.col(hyp)).alias("_e"), F.length(ref).alias("_n"), edits(a, b).alias("_ec"), F.length(a).alias("_nc"))
+    rates = counted.groupBy(*by).agg(rate(F.col("_e"), F.col("_n")).alias("raw_cer"), rate(F.col("_ec"), F.col("_nc")).alias("normalised_cer"))
+    return rates.withColumn("delta", F.col("raw_cer") - F.col("normalised_cer"))
+
+
+def normalised_triples(rows: DataFrame, ref: str, variant: str, baseline: str, language: Language) -> DataFrame:
+    """(id, ev, eb, len) of normalised texts without blanks behind articles."""
+    clean = lambda c, h: T.clitic_spaces(T.normalised(F.col(c), h), language).alias(c)
+    kept = rows.select("id", clean(ref, False), clean(variant, True), clean(baseline, True)).where(F.length(ref) > 0)
+    return kept.select("id", edits(F.col(ref), F.col(variant)).alias("ev"), edits(F.col(ref), F.col(baseline)).alias("eb"), F.length(ref).cast("long").alias("len"))
+
+
+def letters_in(s: Column, letters: str) -> Column:
+    """Those of the letters that a text has."""
+    return F.filter(F.array(*(F.when(F.contains(s, F.lit(c)), F.lit(c)) for c in letters)), lambda c: c.isNotNull())
+
+
+def subset_cer(rows: DataFrame, ref: str, hyp: str, letters: str) -> DataFrame:
+    """(letter, n, cer) over the references with each letter; nan where none has it."""
+    counted = rows.select(letters_in(F.col(ref), letters).alias("_l"), edits(F.col(ref), F.col(hyp)).alias("ed"), F.length(ref).alias("len"))
+    got = counted.select(F.explode("_l").alias("letter"), "ed", "len").groupBy("letter").agg(F.count(F.lit(1)).alias("n"), F.sum("ed").alias("ed"), F.sum("len").alias("len"))
+    every = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, letters))).alias("letter"))
+    return every.join(got, "letter", "left").select("letter", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("ed") / F.col("len"), F.lit(float("nan"))).alias("cer"))

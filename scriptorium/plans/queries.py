@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,28 +9,10 @@ from scriptorium.functions import align
 from scriptorium.functions import text as T
 from scriptorium.operators import arbitrate, buckets, diverge, forensic, joins, metrics, paragraphs, resample, sampling
 from scriptorium.plans.derived import BLOCKS_SQL, NUMBER_SQL, PAIRS_SQL, WORDS_SQL, by_document, pairs, triples, words
+from scriptorium.plans.registry import QUERIES, SQL, query, quoted  # noqa: F401
 from scriptorium.profiles import ENGLISH, GENERIC, LATIN, MARKERS, PUNCTUATION
 from scriptorium.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def quoted(items) -> str:
-    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
-
-
 CER = "coalesce(sum(ed)::DOUBLE / nullif(sum(len), 0)::DOUBLE, 0.0)"
 
 
@@ -68,7 +48,7 @@ def quartile_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents),
 r AS (SELECT *, CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_filter(ws, lambda x: lower(x) IN ({quoted(ENGLISH)})))::DOUBLE / len(ws)::DOUBLE END AS en FROM w),
 t AS (SELECT doc_id, unnest([CASE WHEN length(text) <= q1 THEN 'len-q1' WHEN length(text) <= q2 THEN 'len-q2' WHEN length(text) <= q3 THEN 'len-q3' ELSE 'len-q4' END,
-  CASE WHEN regexp_matches(text, '[{LATIN}]') THEN 'lang-own' WHEN regexp_matches(text, '[A-Za-z]') AND en >= 0.2 THEN 'lang-en' WHEN regexp_matches(text, '[A-Za-z]') THEN 'lang-own' ELSE 'lang-other' END,
+  CASE WHEN regexp_matches(text, '[{LATIN}]') THEN 'lang-own' WHEN regexp_matches(text, '[A-Za-z]') AND en >= 0.2 THEN 'lang-en' WHEN regexp_matches(text, '[A-Za-z]') THEN 'lang-own' ELSE 'lang-other' END, 'prefix-no',
   CASE WHEN len(list_filter(lines[1:len(lines) - 1], lambda x: regexp_matches(rtrim(x), '[^ ][-­]$'))) > 0 THEN 'linehyp-yes' ELSE 'linehyp-no' END,
   CASE WHEN contains(text, '—') THEN 'em-dash-yes' ELSE 'em-dash-no' END, CASE WHEN len(lines) > 1 THEN 'multi-line' ELSE 'single-line' END]) AS tag FROM r, c)
 SELECT tag, count(*) AS n FROM t GROUP BY tag""")
@@ -76,7 +56,7 @@ def bucket_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cuts = buckets.quartile_cuts(docs).first()
     tags = F.explode(buckets.tags(F.col("text"), F.split("text", "\n"), (cuts["q1"], cuts["q2"], cuts["q3"]))).alias("tag")
-    return docs.select(tags).where(~F.col("tag").startswith("prefix-")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(tags).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH w AS (SELECT lang, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents),

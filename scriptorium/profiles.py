@@ -18,19 +18,24 @@ MARKERS = {
     "de": tuple("der die das und ist sind eine ein nicht auch wie wenn aber mit auf für".split()),
 }
 ARTICLES = tuple("il id is it in ir ix iz l fil fis fit fid fl bil bis bit bid tal tas tat tad min mil mis mit".split())
+#: Clitics behind whose hyphen a stray blank is noise.
+CLITIC_ARTICLES = tuple(
+    "il is id it in ir ix iz iż fis fil fid fit fix fl bil bis bid bit bix biż mil mis mid mit mix miż tal tas tad tat tax taż sal sas sad sat sax ġos għax għal għall sa ma kull lil biex bħal l".split()
+)
 LATIN = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
 
 
 @dataclass(frozen=True)
 class Language:
-    """canaries: letters a recogniser tends to lose; fold, to: their plain forms; articles: clitics written with a hyphen."""
+    """canaries: letters a recogniser tends to lose; fold, to: their plain forms; articles: prefixes that put a text in its bucket; clitics: those that the normaliser knows."""
 
     name: str
     canaries: str
     fold: str
     to: str
     articles: tuple[str, ...] = ()
+    clitics: tuple[str, ...] = ()
 
 
-MALTESE = Language("mt", "ċġħżĊĠĦŻ", "ħĦġĠċĊżŻ", "hHgGcCzZ", ARTICLES)
+MALTESE = Language("mt", "ċġħżĊĠĦŻ", "ħĦġĠċĊżŻ", "hHgGcCzZ", ARTICLES, CLITIC_ARTICLES)
 GENERIC = Language("latin", LATIN, LATIN, "ACEEEINOOUsaceeeinoou")

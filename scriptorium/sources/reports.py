@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows a report reads at most; results are aggregates.
+#: Rows a report reads at most; results are aggregates. A longer frame is refused, not cut: write it as a table.
 MOST = 1000
 
 
@@ -21,15 +21,22 @@ def shown(value: object) -> str:
     return str(value)
 
 
+def _rows(frame: DataFrame, most: int) -> list:
+    rows = frame.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report holds at most {most} rows")
+    return rows
+
+
 def markdown(frame: DataFrame, title: str, most: int = MOST) -> str:
-    rows = frame.limit(most).collect()
+    rows = _rows(frame, most)
     lines = [f"## {title}", "", "| " + " | ".join(frame.columns) + " |", "|" + "---|" * len(frame.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(shown, r)) + " |" for r in rows), ""])
 
 
 def as_json(frames: dict[str, DataFrame], most: int = MOST) -> str:
     clean = lambda v: None if isinstance(v, float) and math.isnan(v) else v
-    return json.dumps({k: [{c: clean(v) for c, v in r.asDict().items()} for r in f.limit(most).collect()] for k, f in frames.items()}, sort_keys=True, ensure_ascii=False, default=str)
+    return json.dumps({k: [{c: clean(v) for c, v in r.asDict().items()} for r in _rows(f, most)] for k, f in frames.items()}, sort_keys=True, ensure_ascii=False, default=str)
 
 
 def missing_leaves(frame: DataFrame) -> DataFrame:
