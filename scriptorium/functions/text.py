@@ -84,7 +84,7 @@ def convention_fold(s: Column) -> Column:
 
 
 def composed(s: Column) -> Column:
-    """NFC; ASCII texts don't go to Python, nor do texts without combining marks, jamo or letters that compose further."""
+    """NFC where a text has combining marks, jamo or letters that compose further. The batch goes to Python all the same; ASCII comes back at once."""
     return F.when(s.rlike(r"[\p{M}\x{1100}-\x{11FF}\x{2126}\x{212A}\x{212B}\x{F900}-\x{FAFF}]"), nfc(s)).otherwise(s)
 
 
