@@ -90,7 +90,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
     rates = stored(source_rates(sizes, **options), "mix-rates")
     columns = docs.columns
-    planned = docs.withColumn("_source", F.col("source")).select(F.struct(*columns).alias("_row"), F.col("_source").alias("source"))
+    planned = docs.select(F.struct(*columns).alias("_row"), "source")
     often = with_rates(planned, rates).select("_row", copies(F.col("rate"), F.col("_row.doc_id")).cast("int").alias("_n"))
     return often.where("_n > 0").select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_i")).select("_row.*")
 
