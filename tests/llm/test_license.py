@@ -55,3 +55,16 @@ def test_texts_with_a_common_name_alone(spark):
         "available under the terms of the ruby": "ruby", "relicensed under mit": "mit", "written in ruby and python": "",
     }
     assert labels(spark, list(want)) == want
+
+
+def test_sentences_of_license_texts(spark):
+    want = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+        "See http://www.apache.org/licenses/LICENSE-2.0 for it": "apache-2",
+        "// SPDX-License-Identifier: EPL-2.0": "epl-2",
+        "https://creativecommons.org/licenses/by-nc/4.0/": "cc-by-nc",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "redistribution of the seats, and use of sources": "",
+    }
+    assert labels(spark, list(want)) == want
