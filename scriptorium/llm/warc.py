@@ -8,8 +8,10 @@ timestamp from the 14 digits, type, SHA-1 block and payload digests in base32.
 
 Archives are files of plain or gzipped WARC records in the shared folder, written by the text sink with
 the records' closing CR LF CR LF as line separator, and read by the text source with the same separator,
-so any store Spark reaches will do. Records are put together again by their declared lengths, one at a
-time: a payload may hold the separator, and memory follows the longest record, not the file.
+so any store Spark reaches will do. Spark cuts plain files wherever it likes: those are read by line feeds, whose
+pieces are the same however a file is cut, and brought back in order, a file a task. Records are put together
+by their declared lengths, one at a time: a payload may hold the separator, and memory follows the longest
+record, not the file.
 
 Records with equal payloads have one response, that with the largest page_id; the others are revisits
 without a payload of their own. Equal payloads are found by a SHA-1 digest, summed up before anything is
@@ -124,12 +126,12 @@ def to_warc(record: ArcRecord, kind: str | None = None, refers_to: str | None =
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + block
 
 
-def parse_warc(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record, from the pieces of a file between its separators, in order."""
+def parse_warc(parts: Iterable[bytes], between: str = SEPARATOR) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record, from the pieces of a file that between has parted, in order."""
     gap, buffer, need, fields = SEPARATOR.encode(), bytearray(), 0, None
     for part in parts:
         buffer += part
-        buffer += gap
+        buffer += between.encode()
         while True:
             if fields is None:
                 start = len(buffer) - len(buffer.lstrip(b"\r\n"))  # a payload that ends in CR LF shifts the pieces
@@ -192,18 +194,18 @@ def archive(pages: DataFrame, path: str) -> None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the WARC files under path; payload is null for revisits."""
+    """A row for each record of the WARC files under path, plain or gzipped (named .gz); payload is null for revisits."""
     ship(spark)
     columns = "page_id bigint, url string, date string, record_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
     names = [c.split()[0] for c in columns.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch], between: str) -> Iterator[pa.RecordBatch]:
         def told(rows: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.int64() if c.endswith("bigint") else pa.binary() if c.endswith("binary") else pa.string() for c in columns.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         rows, size = [], 0
-        for fields, block in parse_warc(v for b in batches for v in b.column(0).to_pylist()):
+        for fields, block in parse_warc((v for b in batches for v in b.column(0).to_pylist()), between):
             if fields.get("WARC-Block-Digest") != f"sha1:{digest_of(block)}":
                 raise ValueError("a block doesn't have its digest")
             kind, payload = fields["WARC-Type"], split_http(block)[1]
@@ -219,8 +221,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield told(rows)
 
-    lines = spark.read.option("lineSep", SEPARATOR).text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, columns)
+    def pieces(between: str, gzipped: bool) -> DataFrame:
+        lines = spark.read.option("lineSep", between).text(path).where(F.col("_metadata.file_name").endswith(".gz") == F.lit(gzipped))
+        return lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+    files = spark.read.text(path).inputFiles()
+    found = pieces(SEPARATOR, True).select("value").mapInArrow(lambda b: records(b, SEPARATOR), columns)
+    if all(f.endswith(".gz") for f in files):
+        return found
+    ordered = pieces("\n", False).withColumn("place", F.monotonically_increasing_id()).repartition("file").sortWithinPartitions("file", "start", "place")
+    return found.union(ordered.select("value").mapInArrow(lambda b: records(b, "\n"), columns))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -41,3 +41,27 @@ def test_round_trip_against_brute_force(spark):
 
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_plain_archives_that_spark_cuts(spark, tmp_path):
+    import gzip
+
+    rows = PAGES + [(k, f"http://x/{k}", f"{k} " + "\r\n" * (k % 40) + "z" * (k % 7)) for k in range(20, 400)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    warc.archive(df, str(tmp_path / "gz"))
+    want = sorted(map(str, warc.read_archives(spark, str(tmp_path / "gz")).collect()))
+    (tmp_path / "mixed").mkdir()
+    for k, file in enumerate(sorted((tmp_path / "gz").glob("*.gz"))):
+        if k:
+            (tmp_path / "mixed" / file.stem).write_bytes(gzip.decompress(file.read_bytes()))
+        else:
+            (tmp_path / "mixed" / file.name).write_bytes(file.read_bytes())
+    most, cost = (spark.conf.get(f"spark.sql.files.{c}") for c in ("maxPartitionBytes", "openCostInBytes"))
+    try:
+        for size in ("997", "64k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert sorted(map(str, warc.read_archives(spark, str(tmp_path / "mixed")).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
