@@ -11,7 +11,10 @@ A cell tells a minimum spanning forest of its candidates, never all pairs; each
 shingle sets. Where a check fails, the components at both ends may still hold similar sets that the forest passed over
 (a path of the forest between two such sets leaves its component by a failed link). Members of these components meet
 once more at their rarest shingles: of size - ceil(0.8 size) + 1 of them, in order of frequency, two similar sets share
-one. Those that are candidates and in different components are checked as well, so every candidate of 0.8 is linked.
+one. Those that are candidates, in different components and within the bound of their parity bits are checked as well,
+so every candidate of 0.8 is linked. A set's parity bits tell of each of PARITY buckets of hashes whether an odd number
+of shingles is in it: two sets have at least as many shingles not in common as these bits differ, and similar ones have
+at most a ninth of both sizes.
 
 Texts with equal shingle sets are one node. Words are runs of bytes other than ASCII white space, lower-cased A-Z.
 A text of under five words is one shingle; texts without words, null ones too, are equal to each other. Rows are
@@ -38,6 +41,8 @@ SIMILAR = (4, 5)
 NEAR, NEAR_SMALL, SMALL = 60, 76, 16
 #: Rows of an anchor from which it is cut into blocks of that size; rows compared at once.
 HOT, BLOCK = 65_536, 512
+#: Buckets of a set's parity bits; pairs whose bits are compared at once.
+PARITY, PAIRS = 1024, 65_536
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LANE = [f"f{k}" for k in range(LANES)]
 
@@ -79,6 +84,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+def parity(shingle: np.ndarray) -> np.ndarray:
+    """PARITY bits: whether an odd number of the shingles is in each bucket."""
+    counts = np.bincount((shingle % np.uint64(PARITY)).astype(np.int64), minlength=PARITY)
+    return np.packbits(counts & 1, bitorder="little")
+
+
+def may_be_similar(odd: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """False for pairs of rows whose parity bits differ in too many places for two similar sets."""
+    out = np.empty(len(i), bool)
+    for k in range(0, len(i), PAIRS):
+        a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+        apart = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+        out[k : k + PAIRS] = sum(SIMILAR) * apart <= (SIMILAR[1] - SIMILAR[0]) * (size[a] + size[b])
+    return out
+
+
 def text_key() -> Column:
     return F.xxhash64("text")
 
@@ -219,7 +240,7 @@ def spanning(node: np.ndarray, prints: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 def compared(rows: DataFrame, crossing: bool = False) -> DataFrame:
-    """(u, v): links told by cells, from rows (cell, node, size, f0 to f3; crossing: and root): a spanning forest of each, or all candidates that have different roots."""
+    """(u, v): links told by cells, from rows (cell, node, size, f0 to f3; crossing: root and parity too): a spanning forest of each, or the candidates of different roots that may be similar."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         held: list[pa.RecordBatch] = []
@@ -234,11 +255,11 @@ def compared(rows: DataFrame, crossing: bool = False) -> DataFrame:
             x = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             cell = x.column("cell").to_numpy()
             cut = int(np.searchsorted(cell, cell[-1]))
-            yield {c: x.column(c).to_numpy()[:cut] for c in x.schema.names}
+            yield {c: x.column(c).to_numpy(zero_copy_only=False)[:cut] for c in x.schema.names}
             held, rows = [x.slice(cut)], len(cell) - cut
         if held:
-            x = pa.Table.from_batches(held)
-            yield {c: x.column(c).to_numpy() for c in x.schema.names}
+            x = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield {c: x.column(c).to_numpy(zero_copy_only=False) for c in x.schema.names}
 
     def told(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
@@ -259,8 +280,11 @@ def compared(rows: DataFrame, crossing: bool = False) -> DataFrame:
                 root = x["root"][part]
                 if (root == root[0]).all():
                     continue
+                odd = np.frombuffer(b"".join(x["parity"][part]), np.uint64).reshape(len(part), -1)
                 for i, j, _ in candidates(prints[part], size):
                     own = root[i] != root[j]
+                    i, j = i[own], j[own]
+                    own = may_be_similar(odd, size, i, j)
                     u.append(np.minimum(node[i[own]], node[j[own]]))
                     v.append(np.maximum(node[i[own]], node[j[own]]))
                     if len(u[-1]) > 100_000:
@@ -273,7 +297,7 @@ def compared(rows: DataFrame, crossing: bool = False) -> DataFrame:
 
 
 def by_rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(cell, and the columns of members): members at those of their rarest shingles that two similar sets must share; a shingle that no other member has is no cell."""
+    """(cell, and the columns of members, and parity): members at those of their rarest shingles that two similar sets must share; a shingle that no other member has is no cell."""
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,22 +310,24 @@ def by_rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
     listed = every.join(shared, "cell").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("x"))  # a text's shingles
     more, least = SIMILAR[1], SIMILAR[0]
     length = F.col("size") - F.ceil(F.col("size") * least / more) + 1 - (F.col("size") - F.size("x"))  # shingles without company come first
-    chosen = members.join(listed, "node").where(length > 0)
-    return chosen.select(F.explode(F.slice("x", F.lit(1), length.cast("int"))).alias("x"), *members.columns).select("x.cell", *members.columns)
+    chosen = members.join(listed, "node").where(length > 0).join(sets.select("node", "parity"), "node")
+    columns = [*members.columns, "parity"]
+    return chosen.select(F.explode(F.slice("x", F.lit(1), length.cast("int"))).alias("x"), *columns).select("x.cell", *columns)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted (node, key), once each."""
+    """(node, shingles, parity) of the wanted (node, key), once each."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunks(batches, GROUP_BYTES):
             hashes = Hashes()
-            sets = [shingles(r["text"], hashes).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["node"] for r in rows], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [shingles(r["text"], hashes) for r in rows]
+            columns = [pa.array([r["node"] for r in rows], pa.int64()), *(pa.array([f(x).tobytes() for x in sets], pa.binary()) for f in (np.asarray, parity))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "parity"])
 
     texts = docs.select(text_key().alias("key"), "text").join(wanted, "key").dropDuplicates(["node"]).select("node", "text")
-    return texts.mapInArrow(run, "node bigint, shingles binary")
+    return texts.mapInArrow(run, "node bigint, shingles binary, parity binary")
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -80,3 +80,21 @@ def test_rows_that_share_an_id_or_have_none_are_judged_by_text(spark):
     want = [(1, a), (2, b), (2, c), (4, d), (5, "x y z"), (None, "q")]
     got = widehash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
     assert got.columns == ["doc_id", "text"] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_parity_bits_pass_every_similar_pair():
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in [1, 2, 5, 9, 40, 300, 3000]:
+        for _ in range(6):
+            own = rng.integers(0, 2**63, size).astype(np.uint64)
+            for share in (0.0, 0.05, 0.11, 0.12, 0.2, 0.5):
+                other = own.copy()
+                other[: round(share * size)] = rng.integers(0, 2**63, round(share * size)).astype(np.uint64)
+                sets.append(np.unique(other))
+    odd = np.stack([widehash.parity(s) for s in sets]).view(np.uint64)
+    size = np.array([len(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    passed = widehash.may_be_similar(odd, size, i, j)
+    alike = np.array([widehash.similar(sets[a], sets[b]) for a, b in zip(i, j, strict=True)])
+    assert alike.sum() > 50 and passed[alike].all() and passed.sum() < 2 * alike.sum() + 20
