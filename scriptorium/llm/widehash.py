@@ -14,7 +14,7 @@ once more at their rarest shingles: of size - ceil(0.8 size) + 1 of them, in ord
 one. Those that are candidates, in different components and within the bound of their parity bits are checked as well,
 so every candidate of 0.8 is linked. A set's parity bits tell of each of PARITY buckets of hashes whether an odd number
 of shingles is in it: two sets have at least as many shingles not in common as these bits differ, and similar ones have
-at most a ninth of both sizes.
+at most a ninth of both sizes. Sets of over some 3,000 shingles fill the buckets, so the bound rules none of them out.
 
 Texts with equal shingle sets are one node. Words are runs of bytes other than ASCII white space, lower-cased A-Z.
 A text of under five words is one shingle; texts without words, null ones too, are equal to each other. Rows are

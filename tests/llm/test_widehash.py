@@ -97,4 +97,6 @@ def test_parity_bits_pass_every_similar_pair():
     i, j = np.triu_indices(len(sets), 1)
     passed = widehash.may_be_similar(odd, size, i, j)
     alike = np.array([widehash.similar(sets[a], sets[b]) for a, b in zip(i, j, strict=True)])
-    assert alike.sum() > 50 and passed[alike].all() and passed.sum() < 2 * alike.sum() + 20
+    assert alike.sum() > 50 and passed[alike].all()
+    few = np.maximum(size[i], size[j]) <= 300  # the bits of thousands of shingles say little
+    assert passed[few].sum() < alike[few].sum() + 20
