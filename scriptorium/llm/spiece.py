@@ -8,7 +8,7 @@ units without a pair leave. One merge a round in each unit is the library's orde
 LONG symbols go through a heap in the same order instead, so that a text without spaces costs n log n.
 
 Letters outside the vocabulary become their UTF-8 bytes' pieces. A null or empty text has no ids and
-decodes to an empty text. Repeated rows get equal results.
+decodes to an empty text. Repeated rows get equal results: a group encodes each of its texts once.
 """
 
 from __future__ import annotations
@@ -78,6 +78,11 @@ class PieceModel:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == 1}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == 6}
         self.numbers = [str(i) for i in range(self.size)]
+        self.shown = [p.replace(MARK, " ") if k == 1 else None if k == 6 else "" for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.letters = np.full(0x110000, -1, np.int32) - np.arange(0x110000, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.letters[ord(p)] = i
         assert all(MARK not in p.lstrip(MARK) and "\n" not in p for p in self.ids), "units would not be independent"
         order = sorted({scores[i] for i in self.ids.values()}, reverse=True)
         place = {s: r for r, s in enumerate(order)}
@@ -95,13 +100,11 @@ class PieceModel:
         good = (self.keys[at] == keys) & (left >= 0) & (right >= 0)
         return np.where(good, self.ranks[at], NONE).astype(np.int32), self.merged[at]
 
-    def rounds(self, units: list[str]) -> list[np.ndarray]:
+    def rounds(self, units: list[str]) -> list[list[int]]:
         """Symbols of each unit after all merges."""
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        letters, back = np.unique(points, return_inverse=True)
-        known = np.array([self.ids.get(chr(c), -1 - int(c)) for c in letters], np.int32)
-        sym, unit = known[back], np.repeat(np.arange(len(units)), lengths)
+        sym, unit = self.letters[points], np.repeat(np.arange(len(units)), lengths)
         done_sym, done_unit = [], []
         rank = np.full(len(sym), NONE, np.int32)
         made = np.zeros(len(sym), np.int32)
@@ -128,13 +131,16 @@ class PieceModel:
             rank[at + 1] = rank[at] = NONE
             new = at - np.arange(len(at))
             sym, unit, rank, made = sym[keep], unit[keep], rank[keep], made[keep]
-            near = np.unique(np.concatenate((new[new > 0] - 1, new[new < len(sym) - 1])))
+            beside = np.zeros(len(sym) + 1, bool)
+            beside[new] = beside[new - 1] = True  # before the first comes the last of the array, which is no symbol
+            near = np.flatnonzero(beside[: len(sym) - 1])
             inside = near[unit[near] == unit[near + 1]]
             rank[near] = NONE
             rank[inside], made[inside] = self.look_up(sym[inside], sym[inside + 1])
         sym, unit = np.concatenate(done_sym), np.concatenate(done_unit)
-        order = np.argsort(unit, kind="stable")
-        return np.split(sym[order], np.cumsum(np.bincount(unit, minlength=len(units)))[:-1])
+        flat = sym[np.argsort(unit, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(unit, minlength=len(units))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def long(self, text: str) -> list[int]:
         """Symbols of one long unit, by a heap of pairs."""
@@ -164,16 +170,18 @@ class PieceModel:
 
     def spelled(self, symbols: list[int]) -> list[int]:
         """Ids of symbols: letters without a piece become their bytes' pieces."""
-        if min(symbols, default=0) >= 0:
+        if not symbols or min(symbols) >= 0:
             return symbols
         return [i for s in symbols for i in ((s,) if s >= 0 else (self.bytes[b] for b in chr(-1 - s).encode()))]
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         short = [k for k, u in enumerate(units) if len(u) <= LONG]
+        if len(short) == len(units):
+            return list(map(self.spelled, self.rounds(units))) if units else []
         out: list[list[int]] = [[] for _ in units]
         if short:
             for k, symbols in zip(short, self.rounds([units[k] for k in short]), strict=True):
-                out[k] = self.spelled(symbols.tolist())
+                out[k] = self.spelled(symbols)
         for k, u in enumerate(units):
             if len(u) > LONG:
                 out[k] = self.spelled(self.long(u))
@@ -181,16 +189,18 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids with its leading space; bytes that are no UTF-8 become U+FFFD."""
+        shown = list(map(self.shown.__getitem__, ids))
+        if None not in shown:
+            return "".join(shown)
         out, run = [], bytearray()
-        for i in ids:
-            if self.kinds[i] == 6:
+        for i, piece in zip(ids, shown, strict=True):
+            if piece is None:
                 run.append(int(self.pieces[i][3:5], 16))
                 continue
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run.clear()
-            if self.kinds[i] == 1:
-                out.append(self.pieces[i].replace(MARK, " "))
+            out.append(piece)
         if run:
             out.append(run.decode("utf-8", "replace"))
         return "".join(out)
@@ -200,31 +210,24 @@ def units_of(text: str | None) -> list[str]:
     return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-class _Both:
-    """What two dicts hold, the second first."""
-
-    def __init__(self, a: dict, b: dict):
-        self.a, self.b = a, b
-
-    def __getitem__(self, key):
-        return self.b[key] if key in self.b else self.a[key]
-
-
 class Encoder:
     """Encodes groups of texts; remembers the first KEPT_UNITS units, so memory stays bounded."""
 
     def __init__(self, path: str):
-        self.model, self.kept = PieceModel(path), {}
+        self.model, self.kept, self.passing = PieceModel(path), {}, []
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[str]], _Both]:
-        """Units of each text, and for each unit (number of ids, ids joined by commas, decoded text)."""
+    def encode(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[int, str, str]]]:
+        """Units of each text, and for each unit (number of ids, ids joined by commas, decoded text); the dict holds until the next call."""
+        for u in self.passing:
+            del self.kept[u]
+        full = len(self.kept) >= KEPT_UNITS
         split = [units_of(t) for t in texts]
-        new = list({u for us in split for u in us if u not in self.kept})
-        numbers, model = self.model.numbers, self.model
-        fresh = {u: (len(ids), ",".join([numbers[i] for i in ids]), model.decode(ids)) for u, ids in zip(new, model.encode_units(new), strict=True)} if new else {}
-        if len(self.kept) < KEPT_UNITS:
-            self.kept |= {u: x for u, x in fresh.items() if len(u) <= 64}
-        return split, _Both(fresh, self.kept)
+        new = list(set().union(*split) - self.kept.keys())
+        number, model = self.model.numbers.__getitem__, self.model
+        if new:
+            self.kept.update((u, (len(ids), ",".join(map(number, ids)), model.decode(ids))) for u, ids in zip(new, model.encode_units(new), strict=True))
+        self.passing = [u for u in new if full or len(u) > 64]
+        return split, self.kept
 
 
 def encode(docs: DataFrame, model_path: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -235,14 +238,13 @@ def encode(docs: DataFrame, model_path: str, group_bytes: int = GROUP_BYTES) ->
         encoder = Encoder(model_path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for rows in chunks(batches, group_bytes):
-            split, known = encoder.encode([r["text"] for r in rows])
-            out: list[list] = [[], [], [], []]
-            for row, units in zip(rows, split, strict=True):
-                parts = [known[u] for u in units]
-                out[0].append(row["doc_id"])
-                out[1].append(sum([p[0] for p in parts]))
-                out[2].append(sha(",".join([p[1] for p in parts])))
-                out[3].append(sha("".join([p[2] for p in parts])[1:]))
+            texts = list(dict.fromkeys(r["text"] for r in rows))  # copies, as a mix repeats them, are encoded once
+            split, known = encoder.encode(texts)
+            done: dict[str | None, tuple[int, str, str]] = {}
+            for text, units in zip(texts, split, strict=True):
+                counts, ids, shown = zip(*map(known.__getitem__, units), strict=True) if units else ((), (), ())
+                done[text] = sum(counts), sha(",".join(ids)), sha("".join(shown)[1:])
+            out = [[r["doc_id"] for r in rows], *map(list, zip(*(done[r["text"]] for r in rows), strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

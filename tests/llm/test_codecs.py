@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -34,6 +35,36 @@ def test_random_texts_encode_as_the_library_does():
     assert [",".join(known[u][1] for u in us) for us in split] == [",".join(map(str, i)) for i in library.encode(texts)]
 
 
+def test_copies_in_a_group_are_encoded_once_and_kept_units_stay_bounded(spark, monkeypatch):
+    own, seen = spiece.Encoder(MODEL), []
+    monkeypatch.setattr(spiece, "KEPT_UNITS", 3)
+    for text in ("a b c d", "e f " + "g" * 90, "a e h", "a f " + "g" * 90):
+        split, known = own.encode([text])
+        assert [known[u][2] for u in split[0]] == [u.replace("▁", " ") for u in split[0]]
+        assert len(own.kept) <= 4 + len(split[0]) and all(len(u) <= 64 or u in split[0] for u in own.kept)
+
+    class Counted(spiece.Encoder):
+        def encode(self, texts):
+            seen.extend(texts)
+            return super().encode(texts)
+
+    monkeypatch.setattr(spiece, "Encoder", Counted)
+    rows = [(k // 2, "some text %d" % (k // 4) if k // 4 else None) for k in range(40)]
+
+    class Frame:  # runs the plan's function here, on one partition
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return [r for b in run([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])]) for r in b.to_pylist()]
+
+    got = spiece.encode(Frame(), MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert len(seen) == 10 and [(r["doc_id"], r["n_tokens"]) for r in got] == [(i, len(library.encode(t or ""))) for i, t in rows]
+
+
 @pytest.mark.parametrize("text", [None, "", "a", "b" * 575, "c" * 576, "d" * 577, "été " * 900, "\x00\x7f" * 2000, "".join(map(chr, range(32, 900)))])
 def test_flac_round_trip(text):
     payload = flac.payload_of(text)
