@@ -58,7 +58,7 @@ GROUP_BYTES, GROUP_ROWS = 16_000_000, 60_000
 END = b"\n"
 COUNT = np.dtype([("context", "<u2"), ("n", "<u4")])
 PLACE = np.dtype([("doc", "<u2"), ("context", "<u2")])
-SUMS = np.dtype([("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+SUMS = {"known": np.dtype("<u4"), "base": np.dtype("<f8"), "score": np.dtype("<f8")}
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -97,19 +97,28 @@ def discount_of(once: float, twice: float) -> float:
     return round(min(0.95, max(0.1, once / (once + 2 * twice))), 3) if once else 0.5
 
 
-def draw_tables(n: np.ndarray, weight: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
-    """Tables of dishes with n customers, where a new table has weight against n - discount * tables for the others."""
+def draw_tables(n: np.ndarray, weight: np.ndarray | float, discount: float, u: np.ndarray) -> np.ndarray:
+    """Tables of dishes with n customers, where a new table has weight (one for all or each its own) against n - discount * tables for the others."""
     tables = np.ones(len(n), np.int64)
-    table, heavy = exact_law(discount), np.log(weight)
-    for k in np.unique(n[(n > 1) & (n <= EXACT)]):
-        own = np.flatnonzero(n == k)
+    table, heavy, alike = exact_law(discount), np.log(weight), np.ndim(weight) == 0
+    order = np.argsort(n, kind="stable")
+    cuts = _runs(n[order])
+    for own in np.split(order, cuts[1:]):
+        k = int(n[own[0]]) if len(own) else 1
+        if k == 1 or k > EXACT:
+            continue
         t = np.arange(1, k + 1)
-        p = table[k, 1 : k + 1][None, :] + t[None, :] * heavy[own][:, None]
-        p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
-        tables[own] = 1 + (p < (u[own] * p[:, -1])[:, None]).sum(axis=1)
+        if alike:
+            p = table[k, 1 : k + 1] + t * heavy
+            p = np.cumsum(np.exp(p - p.max()))
+            tables[own] = 1 + np.searchsorted(p, u[own] * p[-1])
+        else:
+            p = table[k, 1 : k + 1][None, :] + t[None, :] * heavy[own][:, None]
+            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+            tables[own] = 1 + (p < (u[own] * p[:, -1])[:, None]).sum(axis=1)
     own = np.flatnonzero(n > EXACT)
     if len(own):
-        tables[own] = many_tables(n[own], weight[own], discount, u[own])
+        tables[own] = many_tables(n[own], np.full(len(own), weight) if alike else weight[own], discount, u[own])
     return tables
 
 
@@ -199,13 +208,18 @@ class Seating:
         size, own = len(key), key[word]
         customers, above = np.bincount(word, np.minimum(self.n, 2), size), np.ones(size)
         d, a = totals.discount, totals.strength
+        many = np.flatnonzero(self.n > 1)  # a single customer has a table of its own, whatever is drawn
+        of, at, often = word[many], self.context[many], self.n[many]
+        own = own[many]
         for sweep in range(BURN_IN + SAMPLES):
             s = max(0, sweep - BURN_IN)
             p = totals.in_parent(s, customers, above)
-            t = draw_tables(self.n, (a + d * totals.tables[s][self.context]) * p[word], d, uniform(own, self.context, sweep))
+            t = np.ones(len(self.n), np.int64)
+            t[many] = draw_tables(often, (a + d * totals.tables[s][at]) * p[of], d, uniform(own, at, sweep))
             customers = np.bincount(word, t, size)
             again = totals.parent_strength + totals.parent_discount * totals.parent[s]
-            above = draw_tables(customers.astype(np.int64), np.full(size, again / (totals.words + 1)), totals.parent_discount, uniform(key, 999, sweep))
+            above, more = np.ones(size, np.int64), np.flatnonzero(customers > 1)
+            above[more] = draw_tables(customers[more].astype(np.int64), again / (totals.words + 1), totals.parent_discount, uniform(key[more], 999, sweep))
             if sweep >= BURN_IN:
                 self.tables.append(t)
                 self.parents.append((customers, above))
@@ -274,20 +288,22 @@ COUNTED = "word bigint, part int, n bigint, counts binary"
 
 
 def _counted(key: np.ndarray, context: np.ndarray, n: np.ndarray, dealt: np.ndarray | None = None) -> pa.RecordBatch:
-    """(word, part, n, counts) from pairs, by word and context; words in dealt (ascending) by parts of their contexts, others as part 0."""
-    part = np.zeros(len(key), np.int32)
+    """(word, part, n, counts) from pairs with ascending key, by word and context; words in dealt (ascending) by parts of their contexts, others as part 0."""
+    part = np.zeros(len(key), np.int64)
     if dealt is not None and len(dealt):
-        part = np.where(dealt[np.minimum(np.searchsorted(dealt, key), len(dealt) - 1)] == key, context % PARTS, 0).astype(np.int32)
-    order = np.lexsort((context, part, key))
-    key, part, context, n = key[order], part[order], context[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]))))
-    total, key, part, context = np.add.reduceat(n, first), key[first], part[first], context[first]
-    words = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+        part = np.where(dealt[np.minimum(np.searchsorted(dealt, key), len(dealt) - 1)] == key, context % PARTS, 0)
+    code = (np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) * PARTS + part << 16) + context
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    first = _runs(code)
+    total, code, key = np.add.reduceat(n, first), code[first], key[order[first]]
+    words = _runs(code >> 16)
     data = np.zeros(len(key), COUNT)
-    data["context"], data["n"] = context, total
+    data["context"], data["n"] = code & 0xFFFF, total
     each = np.add.reduceat(total, words)
     counts = binaries(data, np.diff(np.append(words, len(key))))
-    return pa.RecordBatch.from_arrays([pa.array(key[words]), pa.array(part[words]), pa.array(each.astype(np.int64)), counts], names=["word", "part", "n", "counts"])
+    part = (code[words] >> 16) % PARTS
+    return pa.RecordBatch.from_arrays([pa.array(key[words]), pa.array(part.astype(np.int32)), pa.array(each.astype(np.int64)), counts], names=["word", "part", "n", "counts"])
 
 
 def _batched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -307,12 +323,11 @@ def _merged(batches: Iterator[pa.RecordBatch], dealt: np.ndarray | None = None,
     """Counts added up, from rows by word and part: what is held of the last word never exceeds its contexts."""
     held = None
     for batch in _batched(batches, rows):
-        data, counts = items(batch.column("counts"), COUNT)
-        now = _counted(np.repeat(batch.column("word").to_numpy(), counts), data["context"].astype(np.int64), data["n"].astype(np.int64), dealt)
-        if held is not None:
-            both = pa.Table.from_batches([held, now]).combine_chunks().to_batches()[0]
-            data, counts = items(both.column("counts"), COUNT)
-            now = _counted(np.repeat(both.column("word").to_numpy(), counts), data["context"].astype(np.int64), data["n"].astype(np.int64), dealt)
+        parts = [x for x in (held, batch) if x is not None]
+        found = [items(x.column("counts"), COUNT) for x in parts]
+        data = np.concatenate([d for d, _ in found])
+        key = np.concatenate([np.repeat(x.column("word").to_numpy(), counts) for x, (_, counts) in zip(parts, found, strict=True)])
+        now = _counted(key, data["context"].astype(np.int64), data["n"].astype(np.int64), dealt)
         if now.num_rows > 1:
             yield now.slice(0, now.num_rows - 1)
         held = now.slice(now.num_rows - 1)
@@ -343,8 +358,11 @@ def count_words(docs: DataFrame, contexts: int, dealt: np.ndarray) -> DataFrame:
         for rows in chunks(batches, GROUP_BYTES):
             g = Group([r["text"] for r in rows if not held_out(r["doc_id"])], contexts)
             if len(g.token):
-                pair, n = np.unique(g.token.astype(np.int64) * contexts + g.context, return_counts=True)
-                yield _counted(g.key[pair // contexts], pair % contexts, n, dealt)
+                order = np.argsort(g.key)
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                pair, n = np.unique(rank[g.token] * contexts + g.context, return_counts=True)
+                yield _counted(g.key[order[pair // contexts]], pair % contexts, n, dealt)
 
     by_part = docs.select("doc_id", "text").mapInArrow(local, COUNTED).repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(lambda x: _merged(x, dealt), COUNTED)
     if not len(dealt):
@@ -416,6 +434,63 @@ class Frequent:
             self.base = np.log10(np.array([r["n"] for r in rows]) + 1.0)
 
 
+class Sums:
+    """What a task's words contribute to documents, only of documents that have some of them: at most as much as their places."""
+
+    #: Entries held.
+    MOST = 1_500_000
+
+    def __init__(self):
+        self.index, self.groups, self.parts, self.size = {}, [], [], 0
+
+    def add(self, group: np.ndarray, size: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> None:
+        """values at documents doc; of each of the groups size of them stand in a row."""
+        names, back = np.unique(group, return_inverse=True)
+        for g in names.tolist():
+            if g not in self.index:
+                self.index[g] = len(self.groups)
+                self.groups.append(g)
+        at = np.array([self.index[g] for g in names.tolist()], np.int64)
+        self.parts.append(self.summed((np.repeat(at[back], size) << 16) + doc, values))
+        self.size += len(self.parts[-1][0])
+
+    @staticmethod
+    def summed(key: np.ndarray, values) -> tuple[np.ndarray, list[np.ndarray]]:
+        order = np.argsort(key, kind="stable")
+        first = _runs(key[order])
+        return key[order[first]], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
+
+    def full(self) -> bool:
+        """Whether it's time to tell: more than half of MOST is left when entries of a document are put together."""
+        if self.size <= self.MOST:
+            return False
+        self.parts = [self.summed(np.concatenate([k for k, _ in self.parts]), [np.concatenate(x) for x in zip(*(v for _, v in self.parts), strict=True)])]
+        self.size = len(self.parts[0][0])
+        return 2 * self.size > self.MOST
+
+    def told(self) -> pa.RecordBatch:
+        """(grp, kind, sums): of each group the number of a document less that of the one before, then the values, all documents in a row."""
+        out: list[bytes] = []
+        groups = []
+        if self.parts:
+            key, values = self.summed(np.concatenate([k for k, _ in self.parts]), [np.concatenate(x) for x in zip(*(v for _, v in self.parts), strict=True)])
+            cuts = _runs(key >> 16)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=False):
+                groups.append(self.groups[int(key[a]) >> 16])
+                out.append(b"".join([np.diff(key[a:b] & 0xFFFF, prepend=0).astype("<u2").tobytes(), *(v[a:b].astype(t).tobytes() for v, t in zip(values, SUMS.values(), strict=True))]))
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array([1] * len(groups), pa.int32()), pa.array(out, pa.binary())], names=["grp", "kind", "sums"])
+
+    @staticmethod
+    def into(doc: np.ndarray, data: bytes) -> None:
+        """Adds what told says of a group to its documents."""
+        n = len(data) // (2 + sum(t.itemsize for t in SUMS.values()))
+        at, offset = np.cumsum(np.frombuffer(data, "<u2", n).astype(np.int64)), 2 * n
+        for c, t in SUMS.items():
+            doc[c][at] += np.frombuffer(data, t, n, offset).astype(doc[c].dtype)
+            offset += n * t.itemsize
+
+
 PASSED = "word bigint, kind int, n bigint, counts binary, grp bigint, places binary"
 
 
@@ -441,12 +516,12 @@ def score(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(frequent.key, g.key), len(frequent.key) - 1)
                     hot = np.where(frequent.key[at] == g.key, at, -1)
                     here = hot[g.token]
-                    own = here >= 0
+                    own = np.flatnonzero(here >= 0)
                     doc["known"] = np.bincount(g.row[own], minlength=n)
                     doc["base"] = np.bincount(g.row[own], frequent.base[here[own]], n)
                     doc["score"] = np.bincount(g.row[own], frequent.score[here[own], g.context[own]], n)
                 rest = np.flatnonzero(hot[g.token] < 0)
-                rest = rest[np.argsort(g.token[rest], kind="stable")]
+                rest = np.sort((g.token[rest].astype(np.int64) << 32) + rest) & 0xFFFFFFFF
                 data = np.zeros(len(rest), PLACE)
                 data["doc"], data["context"] = g.row[rest], g.context[rest]
                 token = g.token[rest]
@@ -460,13 +535,7 @@ def score(docs: DataFrame) -> DataFrame:
                 number += 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-
-        def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([1] * len(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["grp", "kind", "sums"])
-            sums.clear()
-            return out
-
+        sums = Sums()
         last = None  # the model of the word that a batch ends in: its places may go on
         for batch in _batched(batches, 20_000):
             kind = batch.column("kind").to_numpy()
@@ -489,25 +558,10 @@ def score(docs: DataFrame) -> DataFrame:
             count = np.where(known, n[at] if len(key) else 0, 0)
             index = np.repeat(np.where(known, at, -1), size)
             scores = np.log10(seating.probability(index, data["context"].astype(np.int64)))
-            base, is_known, group = np.repeat(np.log10(count + 1.0), size), np.repeat(known, size), np.repeat(asked.column("grp").to_numpy(), size)
-            order = np.argsort(group, kind="stable")
-            cuts = _runs(group[order])
-            for part in np.split(order, cuts[1:]):
-                g, doc = int(group[part[0]]), data["doc"][part]
-                most = int(doc.max()) + 1
-                own = sums.get(g)
-                if own is None or len(own) < most:
-                    grown = np.zeros(max(most, 256 if own is None else 2 * len(own)), SUMS)
-                    if own is not None:
-                        grown[: len(own)] = own
-                    own = sums[g] = grown
-                own["known"][:most] += np.bincount(doc, is_known[part], most).astype(np.int64)
-                own["base"][:most] += np.bincount(doc, base[part], most)
-                own["score"][:most] += np.bincount(doc, scores[part], most)
-            if sum(len(x) for x in sums.values()) > 1_500_000:
-                yield told()
-        if sums:
-            yield told()
+            sums.add(asked.column("grp").to_numpy(), size, data["doc"].astype(np.int64), np.repeat(known, size).astype(np.int64), np.repeat(np.log10(count + 1.0), size), scores)
+            if sums.full():
+                yield sums.told()
+        yield sums.told()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, group = None, None
@@ -528,9 +582,7 @@ def score(docs: DataFrame) -> DataFrame:
                 if kind == 0:
                     doc = np.frombuffer(data, docs_kind).copy()
                 else:
-                    own = np.frombuffer(data, SUMS)[: len(doc)]
-                    for c in ("known", "base", "score"):
-                        doc[c][: len(own)] += own[c]
+                    Sums.into(doc, data)
         if doc is not None:
             yield told()
 

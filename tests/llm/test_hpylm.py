@@ -120,3 +120,29 @@ def test_nothing_to_learn_from(spark):
     only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = hpylm.score(spark.createDataFrame([(only, "a b")], "doc_id bigint, text string")).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0) and abs(r["score"]) < 1e-9
+
+
+def test_sums_grow_with_places_not_with_documents_times_tasks():
+    rng = np.random.default_rng(2)
+    sums, want, told, places = hpylm.Sums(), {}, [], 0
+    sums.MOST = 5000
+    for _ in range(30):
+        group, size = rng.integers(0, 40, 100) * 2**33, rng.integers(0, 9, 100)
+        doc = rng.integers(0, 60_000, size.sum())
+        known, base, score = rng.integers(0, 2, len(doc)), rng.random(len(doc)), -rng.random(len(doc))
+        for at, *v in zip(zip(np.repeat(group, size).tolist(), doc.tolist(), strict=True), known, base, score, strict=True):
+            want[at] = want.get(at, 0) + np.array(v)
+        sums.add(group, size, doc, known, base, score)
+        places += len(doc)
+        assert sum(len(k) for k, _ in sums.parts) <= sums.MOST + 900
+        if sums.full():
+            told.append(sums.told())
+            sums.MOST = 5000
+    told.append(sums.told())
+    docs = {g * 2**33: np.zeros(60_000, [("known", "<i8"), ("base", "<f8"), ("score", "<f8")]) for g in range(40)}
+    for r in (r for b in told for r in b.to_pylist()):
+        hpylm.Sums.into(docs[r["grp"]], r["sums"])
+    assert len(told) > 2 and all(np.allclose(list(docs[g][d].tolist()), v) for (g, d), v in want.items())
+    assert sum(d["known"].sum() for d in docs.values()) == sum(v[0] for v in want.values())
+    # A document's sums from every task took 24 bytes for each of a group's documents, 2.4 million here.
+    assert sum(len(x) for b in told for x in b.column("sums").to_pylist()) <= 22 * places
