@@ -146,3 +146,30 @@ def test_sums_grow_with_places_not_with_documents_times_tasks():
     assert sum(d["known"].sum() for d in docs.values()) == sum(v[0] for v in want.values())
     # A document's sums from every task took 24 bytes for each of a group's documents, 2.4 million here.
     assert sum(len(x) for b in told for x in b.column("sums").to_pylist()) <= 22 * places
+
+
+def test_contexts_share_no_restaurant(spark, monkeypatch):
+    rng, names, numbers = random.Random(4), [], {}
+    for k in range(4000):  # more words than 8,192 restaurants had room for; draws' numbers of contexts differ, so that the model by one process keeps them apart too
+        if numbers.setdefault(int(hpylm.Group([f"n{k}"], 1 << 22).context[1]), k) == k:
+            names.append(f"n{k}")
+    table = [(k, " ".join(x for w in rng.choices(range(len(names)), k=60) for x in (names[w], names[w * 7 % len(names)]))) for k in range(300)]
+    got = hpylm.score(spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)).collect()
+    monkeypatch.setattr(hpylm, "CONTEXTS", 1 << 22)
+    want = model_scores(table)
+    assert len(got) == len(table)
+    assert all(abs(r["score"] - want[(r["doc_id"], r["n_tokens"], r["n_known"])]) < 1e-4 * r["n_tokens"] for r in got)
+
+
+def test_dealt_contexts_score_alike(spark, monkeypatch):
+    table = rows(9)
+    monkeypatch.setattr(hpylm, "LOOK", 1)
+    monkeypatch.setattr(hpylm, "GROUP_BYTES", 1500)
+    scores = []
+    for often, tokens in ((4, 2_000_000), (4096, 10)):  # a few contexts dealt in 32 buckets, all in 2,048
+        monkeypatch.setattr(hpylm, "FREQUENT", often)
+        monkeypatch.setattr(hpylm, "BUCKET_TOKENS", tokens)
+        got = hpylm.score(spark.createDataFrame(table, "doc_id bigint, text string").repartition(2)).collect()
+        scores.append(sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["score"], 6)) for r in got), key=str))
+    want = model_scores(table)
+    assert scores[0] == scores[1] and all(abs(s - want[(i, n, k)]) < 1e-4 * n for i, n, k, s in scores[0])
