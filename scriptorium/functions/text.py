@@ -57,7 +57,8 @@ def label_form(s: Column) -> Column:
 def clitic_spaces(s: Column, language: Language) -> Column:
     """No blanks behind an article's hyphen."""
     names = "|".join(sorted(language.clitics, key=len, reverse=True)) or "(?!)"
-    return F.regexp_replace(s, rf"(?iu)(?<![\p{{L}}\p{{N}}_'’])({names})-[ \t]+", "$1-")
+    ahead = rf"(?=.{{1,{max(map(len, language.clitics), default=1)}}}?-[ \t])"  # few places have a hyphen near; the names are tried there alone
+    return F.regexp_replace(s, rf"(?iu)(?<![\p{{L}}\p{{N}}_'’]){ahead}({names})-[ \t]+", "$1-")
 
 
 def lead_marker(s: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.align import distance
 from scriptorium.functions.columns import let
 from scriptorium.functions.text import first_divergence
 from scriptorium.operators.paragraphs import CLITICS, wrap_points
@@ -88,7 +89,7 @@ def dash_token_pairs(rows: DataFrame, ref: str, hyp: str, *keep: str) -> DataFra
     some = rows.select(*keep, words(F.col(ref)).alias("r"), words(F.col(hyp)).alias("h")).where(F.size("r") > 0)
     pad = lambda a, b: F.array_join(F.concat(a, F.array_repeat(F.lit(""), F.greatest(F.size(b) - F.size(a), F.lit(0)))), " ")
     both = some.select(*keep, pad(F.col("r"), F.col("h")).alias("a"), pad(F.col("h"), F.col("r")).alias("b"))
-    return both.select(*keep, F.levenshtein("a", "b").cast("long").alias("ed"), F.length("a").cast("long").alias("len"))
+    return both.select(*keep, distance(F.col("a"), F.col("b")).cast("long").alias("ed"), F.length("a").cast("long").alias("len"))
 
 
 def hyphenated(lines: Column, key: Column, rate: float, seed: str = "0") -> Column:

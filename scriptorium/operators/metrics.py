@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.functions.align import distance
 from scriptorium.profiles import Language
 
 #: How far our rate may be from the organiser's.
@@ -13,7 +14,7 @@ TOLERANCE = 1e-3
 
 def edits(ref: Column, hyp: Column) -> Column:
     """Edit distance of code points; pairs with an empty reference count nothing."""
-    return F.when(F.length(ref) > 0, F.levenshtein(ref, F.coalesce(hyp, F.lit("")))).otherwise(0).cast("long")
+    return F.when(F.length(ref) > 0, distance(ref, F.coalesce(hyp, F.lit("")))).otherwise(0).cast("long")
 
 
 def rate(edits: Column, chars: Column) -> Column:
@@ -107,12 +108,17 @@ def oov(words: DataFrame, known: DataFrame, word: str = "w") -> DataFrame:
 
 def pair_cer(ref: Column, hyp: Column) -> Column:
     """A pair's own rate; 0 without reference characters."""
-    return F.when(F.length(ref) > 0, F.levenshtein(ref, hyp) / F.length(ref)).otherwise(F.lit(0.0))
+    return F.when(F.length(ref) > 0, distance(ref, hyp) / F.length(ref)).otherwise(F.lit(0.0))
 
 
 def normalised_pairs(rows: DataFrame, ref: str, hyp: str) -> DataFrame:
     """rows with both texts normalised; rows whose reference is empty then are dropped."""
-    return rows.withColumns({ref: T.normalised(F.col(ref)), hyp: T.normalised(F.col(hyp), True)}).where(F.length(ref) > 0)
+    return _once(rows.withColumns({ref: T.normalised(F.col(ref)), hyp: T.normalised(F.col(hyp), True)})).where(F.length(ref) > 0)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """The same rows by a generator, through which filters don't go down: they would compute again what they read."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_x")).select("_x.*")
 
 
 def normalised_cer(rows: DataFrame, ref: str, hyp: str, *by: str) -> DataFrame:
@@ -132,7 +138,7 @@ def dual_cer(rows: DataFrame, ref: str, hyp: str, language: Language, *by: str)
 def normalised_triples(rows: DataFrame, ref: str, variant: str, baseline: str, language: Language) -> DataFrame:
     """(id, ev, eb, len) of normalised texts without blanks behind articles."""
     clean = lambda c, h: T.clitic_spaces(T.normalised(F.col(c), h), language).alias(c)
-    kept = rows.select("id", clean(ref, False), clean(variant, True), clean(baseline, True)).where(F.length(ref) > 0)
+    kept = _once(rows.select("id", clean(ref, False), clean(variant, True), clean(baseline, True))).where(F.length(ref) > 0)
     return kept.select("id", edits(F.col(ref), F.col(variant)).alias("ev"), edits(F.col(ref), F.col(baseline)).alias("eb"), F.length(ref).cast("long").alias("len"))
 
 
