@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.functions.align import distance
 from scriptorium.operators import buckets, metrics, pairwise, resample
 from scriptorium.plans.derived import _CONTROL
 from scriptorium.plans.registry import query, quoted
@@ -48,11 +49,13 @@ def readings(line: Column) -> list[Column]:
 READINGS = [FOLD.format("line"), CONFUSE.format("line"), "translate(line, 'é', 'e')", f"CASE WHEN length(line) % 3 = 0 THEN {FOLD.format('line')} ELSE {CONFUSE.format('line')} END"]
 
 
-def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, system, ed, len) summed over a document's lines."""
-    rows = segments(spark, sf_dir).select("doc_id", "lang", "line", F.posexplode(F.array(*readings(F.col("line")))).alias("system", "hyp"))
-    ed = F.when(F.col("line") == F.col("hyp"), 0).otherwise(F.levenshtein("line", "hyp")).cast("long")
-    return rows.groupBy("doc_id", "lang", "system").agg(F.sum(ed).alias("ed"), F.sum(F.length("line").cast("long")).alias("len"))
+def read_lines(spark: SparkSession, sf_dir: str, systems: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """(doc_id, lang, system, ed, len) summed over a document's lines, of those systems alone that are asked for. Lines aren't repeated by system."""
+    rows = segments(spark, sf_dir).select("doc_id", "lang", "line", *(readings(F.col("line"))[k].alias(f"h{k}") for k in systems))
+    counted = rows.select("doc_id", "lang", F.length("line").cast("long").alias("len"), *(distance("line", f"h{k}").cast("long").alias(f"e{k}") for k in systems))
+    sums = counted.groupBy("doc_id", "lang").agg(F.sum("len").alias("len"), *(F.sum(f"e{k}").alias(f"e{k}") for k in systems))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("system"), F.col(f"e{k}").alias("ed")) for k in systems))).alias("x")
+    return sums.select("doc_id", "lang", "len", each).select("doc_id", "lang", "x.system", "x.ed", "len")
 
 
 READ_SQL = (
@@ -64,7 +67,7 @@ systems AS (SELECT doc_id, lang, system, sum(CASE WHEN line = hyp THEN 0 ELSE {E
 
 def triples(spark: SparkSession, sf_dir: str, *variants: int) -> DataFrame:
     """(id, lang, variant, ev, eb, len): each document with a variant's and the baseline's edits."""
-    rows = read_lines(spark, sf_dir).groupBy(F.col("doc_id").alias("id"), "lang").agg(F.map_from_entries(F.collect_list(F.struct("system", "ed"))).alias("ed"), F.first("len").alias("len"))
+    rows = read_lines(spark, sf_dir, tuple(sorted({0, *variants}))).groupBy(F.col("doc_id").alias("id"), "lang").agg(F.map_from_entries(F.collect_list(F.struct("system", "ed"))).alias("ed"), F.first("len").alias("len"))
     each = F.explode(F.array(*map(F.lit, variants))).alias("variant")
     return rows.select("id", "lang", each, "ed", "len").select("id", "lang", "variant", F.col("ed")[F.col("variant")].alias("ev"), F.col("ed")[0].alias("eb"), "len")
 
@@ -161,7 +164,7 @@ def canary_subset_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {READ_SQL}, {TAGS_SQL} SELECT tag, count(*) AS n, sum(ed)::DOUBLE / sum(len)::DOUBLE AS cer, count(*) < 20 AS small FROM systems JOIN tags USING (doc_id) WHERE system = 1 AND len > 0 GROUP BY tag")
 def per_bucket_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_lines(spark, sf_dir).where("system = 1 AND len > 0").join(tagged(spark, sf_dir), "doc_id")
+    rows = read_lines(spark, sf_dir, (1,)).where("len > 0").join(tagged(spark, sf_dir), "doc_id")
     return metrics.cer(rows, "tag").select("tag", "n", "cer", (F.col("n") < 20).alias("small"))
 
 
