@@ -49,13 +49,17 @@ def readings(line: Column) -> list[Column]:
 READINGS = [FOLD.format("line"), CONFUSE.format("line"), "translate(line, 'é', 'e')", f"CASE WHEN length(line) % 3 = 0 THEN {FOLD.format('line')} ELSE {CONFUSE.format('line')} END"]
 
 
-def read_lines(spark: SparkSession, sf_dir: str, systems: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
-    """(doc_id, lang, system, ed, len) summed over a document's lines, of those systems alone that are asked for. Lines aren't repeated by system."""
+def _read(spark: SparkSession, sf_dir: str, systems: tuple[int, ...]) -> DataFrame:
+    """(doc_id, lang, len, e0, e1, ...): a document's characters and each system's edits, summed over its lines. Lines aren't repeated by system."""
     rows = segments(spark, sf_dir).select("doc_id", "lang", "line", *(readings(F.col("line"))[k].alias(f"h{k}") for k in systems))
     counted = rows.select("doc_id", "lang", F.length("line").cast("long").alias("len"), *(distance("line", f"h{k}").cast("long").alias(f"e{k}") for k in systems))
-    sums = counted.groupBy("doc_id", "lang").agg(F.sum("len").alias("len"), *(F.sum(f"e{k}").alias(f"e{k}") for k in systems))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("system"), F.col(f"e{k}").alias("ed")) for k in systems))).alias("x")
-    return sums.select("doc_id", "lang", "len", each).select("doc_id", "lang", "x.system", "x.ed", "len")
+    return counted.groupBy("doc_id", "lang").agg(F.sum("len").alias("len"), *(F.sum(f"e{k}").alias(f"e{k}") for k in systems))
+
+
+def read_lines(spark: SparkSession, sf_dir: str, systems: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """(doc_id, lang, system, ed, len) summed over a document's lines, of those systems alone that are asked for."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("system"), F.col(f"e{k}").alias("ed"), "len") for k in systems))).alias("x")
+    return _read(spark, sf_dir, systems).select("doc_id", "lang", each).select("doc_id", "lang", "x.system", "x.ed", "x.len")
 
 
 READ_SQL = (
@@ -66,10 +70,9 @@ systems AS (SELECT doc_id, lang, system, sum(CASE WHEN line = hyp THEN 0 ELSE {E
 
 
 def triples(spark: SparkSession, sf_dir: str, *variants: int) -> DataFrame:
-    """(id, lang, variant, ev, eb, len): each document with a variant's and the baseline's edits."""
-    rows = read_lines(spark, sf_dir, tuple(sorted({0, *variants}))).groupBy(F.col("doc_id").alias("id"), "lang").agg(F.map_from_entries(F.collect_list(F.struct("system", "ed"))).alias("ed"), F.first("len").alias("len"))
-    each = F.explode(F.array(*map(F.lit, variants))).alias("variant")
-    return rows.select("id", "lang", each, "ed", "len").select("id", "lang", "variant", F.col("ed")[F.col("variant")].alias("ev"), F.col("ed")[0].alias("eb"), "len")
+    """(id, lang, variant, ev, eb, len): each document with a variant's and the baseline's edits. The generator keeps all sums, so that branches of a query share one exchange."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), F.col(f"e{k}").alias("ev"), F.col("e0").alias("eb"), "len") for k in variants))).alias("x")
+    return _read(spark, sf_dir, tuple(sorted({0, *variants}))).select(F.col("doc_id").alias("id"), "lang", each).select("id", "lang", "x.*")
 
 
 def triples_sql(*variants: int) -> str:
