@@ -14,6 +14,8 @@ from scriptorium.profiles import ENGLISH, GENERIC, MARKERS, PUNCTUATION, Languag
 
 #: ASCII and Unicode white space that str.strip removes.
 SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Unicode's space separators, which SQL's trim removes.
+BLANKS = "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 SOFT_HYPHEN, EN_DASH, EM_DASH = "­", "–", "—"
 
 
@@ -27,6 +29,11 @@ def nfd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFD", x))
 
 
+def trimmed(s: Column) -> Column:
+    """As SQL's trim; Spark's own removes the space alone."""
+    return F.btrim(s, F.lit(BLANKS))
+
+
 def stripped(s: Column) -> Column:
     return F.btrim(s, F.lit(SPACES))
 

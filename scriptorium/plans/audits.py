@@ -22,7 +22,7 @@ PROFILE = Language("mixed", GENERIC.canaries, GENERIC.fold, GENERIC.to, MALTESE.
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, pos, line): every line and sentence of every document, in order."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", r"\n|[.!?] ")).alias("pos", "line")).where(F.trim("line") != "")
+    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", r"\n|[.!?] ")).alias("pos", "line")).where(T.trimmed(F.col("line")) != "")
 
 
 SEGMENTS_SQL = r"""segments AS (SELECT doc_id, lang, source, pos, line FROM (SELECT doc_id, lang, source, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS line

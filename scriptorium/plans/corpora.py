@@ -22,7 +22,7 @@ def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SEGMENTS_SQL}, k AS (SELECT length(trim(line)) AS k FROM segments) SELECT count(*) AS n, count_if(k >= 40) AS at_least_40, count_if(k >= 50) AS at_least_50, count_if(k >= 60) AS at_least_60, count_if(k BETWEEN 60 AND 600) AS between_60_600 FROM k")
 def length_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.length(F.trim("line"))
+    k = F.length(T.trimmed(F.col("line")))
     return segments(spark, sf_dir).agg(
         F.count(F.lit(1)).alias("n"), *(F.count_if(k >= n).alias(f"at_least_{n}") for n in (40, 50, 60)), F.count_if(k.between(60, 600)).alias("between_60_600")
     )
