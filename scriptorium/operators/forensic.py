@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from hashlib import md5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.align import distance
 from scriptorium.functions.columns import let
-from scriptorium.functions.text import first_divergence
+from scriptorium.functions.text import SOFT_HYPHEN, first_divergence
 from scriptorium.operators.paragraphs import CLITICS, wrap_points
-from scriptorium.operators.resample import number
 
 DASHES = "[-–—]"
+_WHITES = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def _packed(s: Column) -> Column:
@@ -20,13 +25,12 @@ def _packed(s: Column) -> Column:
 
 def compound_at_wrap(parts: Column, gold: Column, joined: Column) -> Column:
     """A hyphen at a line's end stands in the gold and is gone in the joined text."""
-    g, j = _packed(gold), _packed(joined)
 
-    def lost(p: Column) -> Column:
+    def lost(p: Column, t: Column) -> Column:
         word, dash = F.regexp_replace(p.last, f"{DASHES}+$", ""), F.substring(p.last, -1, 1)
-        return F.contains(g, F.concat(word, dash, p.next)) & F.contains(j, F.concat(word, p.next))
+        return F.contains(t.g, F.concat(word, dash, p.next)) & F.contains(t.j, F.concat(word, p.next))
 
-    return F.exists(wrap_points(parts), lost)
+    return let(F.struct(_packed(gold).alias("g"), _packed(joined).alias("j")), lambda t: F.exists(wrap_points(parts), lambda p: lost(p, t)))
 
 
 def failure_class(parts: Column, gold: Column, joined: Column, clitics: tuple[str, ...] = CLITICS) -> Column:
@@ -92,29 +96,41 @@ def dash_token_pairs(rows: DataFrame, ref: str, hyp: str, *keep: str) -> DataFra
     return both.select(*keep, distance(F.col("a"), F.col("b")).cast("long").alias("ed"), F.length("a").cast("long").alias("len"))
 
 
+def split_words(lines: list[str | None], key: str | None, rate: float, seed: str) -> tuple[list[str | None], list[str | None], int]:
+    """(printed, label, n) of hyphenated."""
+    printed, label, tail, n = [], [], "", 0
+    head = seed if key is None else f"{seed}|{key}"
+    for i, line in enumerate(lines):
+        text = None if line is None else line.strip(" ")
+        shown = f"{tail} {text}".strip(" ") if tail and text is not None else text
+        after = ""
+        if not tail and text is not None and i + 1 < len(lines):
+            words = _WHITES.split(text)
+            last = words[-1]
+            if len(words) > 1 and len(last) >= 6 and int(md5(f"{head}|{i}".encode()).hexdigest()[:8], 16) / 2**32 < rate:
+                cut, before = len(last) // 2, text[: len(text) - len(last)]
+                shown, after = f"{before}{last[:cut]}-", last[cut:]
+                text = f"{before}{last[:cut]}{SOFT_HYPHEN}{after}"
+                n += 1
+        printed.append(shown)
+        label.append(text)
+        tail = after
+    return printed, label, n
+
+
+@lru_cache
+def _splitter(rate: float, seed: str):
+    def split(lines: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if x is None else split_words(x, None if pd.isna(k) else k, rate, seed) for x, k in zip(lines, keys, strict=True)]
+        return pd.DataFrame({"printed": pd.Series([r[0] for r in rows], dtype=object), "label": pd.Series([r[1] for r in rows], dtype=object), "n": pd.Series([r[2] for r in rows], dtype="Int32")})
+
+    split.__annotations__ = {"lines": pd.Series, "keys": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(split, "printed array<string>, label array<string>, n int")
+
+
 def hyphenated(lines: Column, key: Column, rate: float, seed: str = "0") -> Column:
     """struct<printed, label, n>: with the given rate a line's last word of six letters or more is split; the printed lines show a hyphen and go on in the next line, the label has a soft hyphen. The line behind a split isn't split itself. Draws are hashes of key and line."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("printed"), none.alias("label"), F.lit("").alias("tail"), F.lit(0).alias("n"))
-    numbered = F.transform(lines, lambda x, i: F.struct(F.trim(x).alias("text"), i.alias("i")))
-
-    def step(a: Column, x: Column) -> Column:
-        words = F.split(x.text, r"\s+")
-        last = F.element_at(words, -1)
-        draw = number(seed, key, x.i) / F.lit(float(2**32))
-        split = (a.tail == "") & (x.i + 1 < F.size(lines)) & (draw < rate) & (F.size(words) >= 2) & (F.length(last) >= 6)
-        cut = F.greatest(F.lit(2), F.floor(F.length(last) / 2).cast("int"))
-        head, tail = F.substring(last, F.lit(1), cut), F.substring(last, cut + 1, F.length(last))
-        before = F.substring(x.text, F.lit(1), F.length(x.text) - F.length(last))
-        shown = F.when(a.tail != "", F.trim(F.concat(a.tail, F.lit(" "), x.text))).otherwise(x.text)
-        return F.struct(
-            F.concat(a.printed, F.array(F.when(split, F.concat(before, head, F.lit("-"))).otherwise(shown))).alias("printed"),
-            F.concat(a.label, F.array(F.when(split, F.concat(before, head, F.lit("­"), tail)).otherwise(x.text))).alias("label"),
-            F.when(split, tail).otherwise("").alias("tail"),
-            (a.n + split.cast("int")).alias("n"),
-        )
-
-    return let(F.aggregate(numbered, start, step), lambda a: F.struct(a.printed.alias("printed"), a.label.alias("label"), a.n.alias("n")))
+    return _splitter(rate, seed)(lines, key.cast("string"))
 
 
 def nearest_rank(values: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from scriptorium.functions.text import collapsed
 
@@ -15,23 +21,51 @@ CLITICS = tuple(
 )
 
 
-def join_lines(lines: Column, clitics: tuple[str, ...] = CLITICS) -> Column:
-    """Lines as one paragraph: soft hyphens go, en dashes become em dashes; behind a hyphen nothing is put between, and the hyphen goes unless a clitic, a digit or an address bears it."""
-    clean = F.filter(F.transform(lines, lambda x: F.trim(F.translate(F.coalesce(x, F.lit("")), "–­", "—"))), lambda x: x != "")
+_DASHES = str.maketrans("–", "—", "­")
+_WHITE, _WHITES = re.compile(r"[ \t\n\x0b\f\r]"), re.compile(r"[ \t\n\x0b\f\r]+")
+_BORNE = re.compile(r"[0-9]\Z|://|www\.")
+
+
+def joined(lines: Iterable[str | None], clitics: frozenset[str]) -> str:
+    """The paragraph of join_lines. What decides how a line goes on is the run without white space at the end of the text so far, so that alone is held, in parts as well."""
+    out, run, blank = [], [], False  # run: parts of the last run; blank: a space stands before it
+    for line in lines:
+        line = (line or "").translate(_DASHES).strip(" ")
+        if not line:
+            continue
+        glue = not out
+        if out:
+            last = run[-1] if run else ""
+            alone = len(run) == 1 and len(last) == 1 and blank
+            if last.endswith("—") and not alone:
+                glue = True
+            elif last.endswith("-") and not alone:
+                glue, tail = True, "".join(run)[:-1].lower()
+                bare = len(tail)
+                while bare and tail[bare - 1].isalpha():
+                    bare -= 1
+                if not (tail == "" or tail[bare:] in clitics or _BORNE.search(tail)):
+                    out[-1], run[-1] = out[-1][:-1], last[:-1]
+        if not glue:
+            out.append(" ")
+            run, blank = [], True
+        out.append(line)
+        pieces = _WHITE.split(line)
+        if len(pieces) > 1:
+            run, blank = [pieces[-1]] if pieces[-1] else [], line[len(line) - len(pieces[-1]) - 1] == " "
+        else:
+            run.append(line)
+    return "".join(out)
+
+
+@lru_cache
+def _joiner(clitics: frozenset[str]):
+    return F.pandas_udf(lambda rows: pd.Series([None if x is None else joined(x, clitics) for x in rows], dtype=object), StringType())
 
-    def step(text: Column, line: Column) -> Column:
-        tail = F.lower(F.regexp_extract(text, r"([^\s]*)-$", 1))
-        bare = F.regexp_extract(tail, r"([\p{L}]*)$", 1)
-        keeps = bare.isin(*clitics) | tail.rlike(r"\d$") | tail.rlike(r"://|www\.") | (tail == "")
-        return (
-            F.when(text == "", line)
-            .when(text.endswith("—") & ~text.endswith(" —"), F.concat(text, line))
-            .when(text.endswith(" -") | ~text.endswith("-"), F.concat(text, F.lit(" "), line))
-            .when(keeps, F.concat(text, line))
-            .otherwise(F.concat(F.substring(text, F.lit(1), F.length(text) - 1), line))
-        )
 
-    return F.aggregate(clean, F.lit(""), step)
+def join_lines(lines: Column, clitics: tuple[str, ...] = CLITICS) -> Column:
+    """Lines as one paragraph: soft hyphens go, en dashes become em dashes; behind a hyphen nothing is put between, and the hyphen goes unless a clitic, a digit or an address bears it. In Arrow batches: a fold of columns would copy and search the text so far at each line."""
+    return _joiner(frozenset(clitics))(lines)
 
 
 def gold_from_parts(parts: Column, between: str = " ") -> Column:
@@ -60,17 +94,26 @@ def chunks(text: Column, least: int = 200, most: int = 1200) -> Column:
     return F.flatten(F.transform(blocks, lambda b: F.when(F.length(b).between(least, most), F.array(b)).when(F.length(b) < least, none).otherwise(packed(b))))
 
 
-def wrapped(text: Column, width: int) -> Column:
-    """Lines of at most width characters, filled greedily; a longer word has a line of its own."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+def filled(text: str, width: int) -> list[str]:
+    """The lines of wrapped."""
+    out, held, size = [], [], 0
+    for w in filter(None, _WHITES.split(text)):
+        if held and size + 1 + len(w) > width:
+            out.append(" ".join(held))
+            held = []
+        size = size + 1 + len(w) if held else len(w)
+        held.append(w)
+    return [*out, " ".join(held)] if held else out
 
-    def step(a: Column, w: Column) -> Column:
-        fits = (a.held == "") | (F.length(a.held) + 1 + F.length(w) <= width)
-        return F.struct(F.when(a.held == "", w).when(fits, F.concat(a.held, F.lit(" "), w)).otherwise(w).alias("held"), F.when(fits, a.out).otherwise(F.concat(a.out, F.array(a.held))).alias("out"))
 
-    done = F.aggregate(words, start, step)
-    return F.when(done.held == "", done.out).otherwise(F.concat(done.out, F.array(done.held)))
+@lru_cache
+def _filler(width: int):
+    return F.pandas_udf(lambda texts: pd.Series([None if x is None else filled(x, width) for x in texts], dtype=object), ArrayType(StringType()))
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of at most width characters, filled greedily; a longer word has a line of its own."""
+    return _filler(width)(text)
 
 
 def wrap_points(lines: Column) -> Column:
