@@ -86,15 +86,20 @@ def decisions(pairs: DataFrame, lexicon: DataFrame, language: Language = GENERIC
     return both.select("anchor", "candidate", decide(F.col("anchor"), F.col("candidate"), F.col("_a"), F.col("_c"), language, restore).alias("swap"))
 
 
-def vote(tokens: DataFrame, lexicon: DataFrame, keys: tuple[str, ...] = ("id", "pos"), language: Language = GENERIC, restore: bool = True, frequency: DataFrame | None = None) -> DataFrame:
-    """(keys, anchor, voted) from rows (keys, anchor, ord, candidate): the commonest swap, of equals (with frequency: the commoner word, then) that of the first stream."""
+def swapped(tokens: DataFrame, lexicon: DataFrame, keys: tuple[str, ...] = ("id", "pos"), language: Language = GENERIC, restore: bool = True, frequency: DataFrame | None = None) -> DataFrame:
+    """(keys, voted) of the places whose anchor gives way, from rows (keys, anchor, ord, candidate): the commonest swap, of equals (with frequency: the commoner word, then) that of the first stream. Only tokens that swap are put together by place."""
     swaps = tokens.where("anchor <> candidate").join(decisions(tokens, lexicon, language, restore).where("swap <> anchor"), ["anchor", "candidate"])
     counted = swaps.groupBy(*keys, "swap").agg(F.count(F.lit(1)).alias("votes"), F.min("ord").alias("ord"))
     order = [F.desc("votes"), "ord"]
     if frequency is not None:
         counted = counted.join(frequency.select(F.col("word").alias("swap"), F.col("n").alias("_n")), "swap", "left")
         order = [F.desc("votes"), F.desc(F.coalesce("_n", F.lit(0))), "ord"]
-    best = counted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").select(*keys, F.col("swap").alias("_swap"))
+    return counted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").select(*keys, F.col("swap").alias("voted"))
+
+
+def vote(tokens: DataFrame, lexicon: DataFrame, keys: tuple[str, ...] = ("id", "pos"), language: Language = GENERIC, restore: bool = True, frequency: DataFrame | None = None) -> DataFrame:
+    """(keys, anchor, voted) of all places: what swapped has, else the anchor."""
+    best = swapped(tokens, lexicon, keys, language, restore, frequency).withColumnRenamed("voted", "_swap")
     anchors = tokens.select(*keys, "anchor").dropDuplicates(list(keys))
     return anchors.join(best, list(keys), "left").select(*keys, "anchor", F.coalesce("_swap", "anchor").alias("voted"))
 
@@ -117,3 +122,12 @@ def disagreement(tokens: DataFrame, keys: tuple[str, ...] = ("id", "pos")) -> Da
     streams = tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "candidate"))).alias("s"))
     two = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b.ord > a.ord), lambda b: F.struct(a.ord.alias("ord_a"), b.ord.alias("ord_b"), (a.candidate != b.candidate).cast("long").alias("d")))))
     return streams.select(F.explode(two).alias("x")).groupBy("x.ord_a", "x.ord_b").agg(F.count(F.lit(1)).alias("positions"), F.sum("x.d").alias("differing"))
+
+
+def array_disagreement(rows: DataFrame, streams: str, names: tuple[int, ...]) -> DataFrame:
+    """The same where each row has a place's streams, named in order, as an array: sums of columns, so nothing but a row a task is shuffled. Missing ones are null."""
+    both = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    at = lambda k: F.get(streams, F.lit(k))
+    sums = rows.agg(*(f.alias(f"{c}{k}") for k, (i, j) in enumerate(both) for c, f in (("n", F.count(at(i) != at(j))), ("d", F.coalesce(F.count_if(at(i) != at(j)), F.lit(0))))))
+    each = F.array(*(F.struct(F.lit(names[i]).alias("ord_a"), F.lit(names[j]).alias("ord_b"), F.col(f"n{k}").alias("positions"), F.col(f"d{k}").alias("differing")) for k, (i, j) in enumerate(both)))
+    return sums.select(F.explode(each).alias("x")).select("x.*").where("positions > 0")

@@ -55,11 +55,11 @@ def confusion_probabilities(counts: DataFrame, least: int = 5, most: int = 10) -
     return ranked.where((F.col("_total") >= least) & (F.col("_rank") <= most)).select("hyp", "ref", F.round(F.col("n") / F.col("_total"), 5).alias("p"))
 
 
-def canary_table(aligned: DataFrame, canaries: str, fold: str, to: str, column: str = "pairs") -> DataFrame:
-    """For each canary letter, and in total: gold, recovered, demoted to its plain form, other and spurious; recall is null without gold."""
-    pair = aligned.select(F.explode(column).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+def canary_table(aligned: DataFrame, canaries: str, fold: str, to: str, column: str = "pairs", n: str | None = None) -> DataFrame:
+    """n: a column with how often a row stands. For each canary letter, and in total: gold, recovered, demoted to its plain form, other and spurious; recall is null without gold."""
+    pair = aligned.select(F.explode(column).alias("p"), (F.lit(1) if n is None else F.col(n)).cast("long").alias("_n")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), "_n")
     letters = [F.struct(F.lit(c).alias("letter"), F.lit(dict(zip(fold, to, strict=True)).get(c, "")).alias("plain")) for c in canaries]
-    hit = pair.where(F.col("a").isin(*canaries) | F.col("b").isin(*canaries)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    hit = pair.where(F.col("a").isin(*canaries) | F.col("b").isin(*canaries)).groupBy("a", "b").agg(F.sum("_n").alias("n"))
     per = hit.withColumn("_l", F.explode(F.array(*letters))).where((F.col("a") == F.col("_l.letter")) | (F.col("b") == F.col("_l.letter")))
     gold, same = F.col("a") == F.col("_l.letter"), F.col("b").eqNullSafe(F.col("_l.letter"))
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
@@ -90,12 +90,18 @@ def charset_violations(inventory: DataFrame, charset: str) -> DataFrame:
     return inventory.where(~F.col("letter").isin(*charset))
 
 
-def lexicon(words: DataFrame, word: str = "w", least: int = 2) -> DataFrame:
-    """(word, n): each word counts as itself and lower-cased (a lower-case one twice), of 2 to 40 letters, at least `least` times."""
-    both = words.groupBy(word).agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(F.col(word), F.lower(word))).alias("word"), "n")
+def lexicon(words: DataFrame, word: str = "w", least: int = 2, n: str | None = None) -> DataFrame:
+    """(word, n): each word counts as itself and lower-cased (a lower-case one twice), of 2 to 40 letters, at least `least` times. n: a column with how often a row stands."""
+    both = words.groupBy(word).agg((F.count(F.lit(1)) if n is None else F.sum(n)).alias("n")).select(F.explode(F.array(F.col(word), F.lower(word))).alias("word"), "n")
     return both.where(F.length("word").between(2, 40)).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
+def key_lexicon(words: DataFrame, word: str = "w") -> DataFrame:
+    """The lexicon of the words' keys, which are built once for each distinct word: building them takes a way through Python."""
+    distinct = words.groupBy(word).agg(F.count(F.lit(1)).alias("n"))
+    return lexicon(distinct.select(T.lookup_key(F.col(word)).alias(word), "n"), word, n="n")
+
+
 def oov(words: DataFrame, known: DataFrame, word: str = "w") -> DataFrame:
     """One row: types, tokens and those outside the lexicon; a word is known as it is or lower-cased."""
     types = words.where(F.col(word) != "").groupBy(word).agg(F.count(F.lit(1)).alias("n"))

@@ -301,8 +301,8 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("w")).select(T.lookup_key(F.col("w")).alias("w")).where("w <> ''")
-    return metrics.lexicon(words)
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("w"))
+    return metrics.key_lexicon(words)
 
 
 @query()
